@@ -7,7 +7,15 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..schemas import ARRIVALS, ARRIVALS_EXTRA, QUAYS, STOPS
+from ..operators.directions import route_name_ranked
+from ..operators.journeys import selected_journeys
+from ..operators.leg_stats import leg_stats, stop_lines
+from ..operators.leg_study import legs_by_selfjoin, legs_with_distance, pair_distances
+from ..operators.legs import legs
+from ..operators.routes import canonical_direction, route_names
+from ..operators.skew import hot_groups
+from ..operators.visits import clean_arrivals, stop_dimension
+from ..schemas import ARRIVALS, ARRIVALS_EXTRA, JOURNEY, QUAYS, STOPS
 
 DAY = 86_400
 FIRST_DAY = 19_723  # 2024-01-01 as days since the epoch
@@ -130,51 +138,54 @@ class Projected:
 
     @cached_property
     def hot(self):
-        from ..operators.skew import hot_groups
-        from ..schemas import JOURNEY
-
         return hot_groups(self.arrivals, JOURNEY)
 
     @cached_property
     def stopdata(self) -> DataFrame:
-        from ..operators.visits import stop_dimension
-
         return stop_dimension(self.stops, self.quays)
 
     @cached_property
     def clean(self) -> DataFrame:
-        from ..operators.visits import clean_arrivals
-
         # Used by both the route names and the legs: compute it once (spills to disk).
         clean = clean_arrivals(self.arrivals, self.stopdata, hot=self.hot)
         return clean.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def route_names(self) -> DataFrame:
-        from ..operators.routes import route_names
-
         return route_names(self.clean)
 
     @cached_property
     def canonical(self) -> DataFrame:
-        from ..operators.routes import canonical_direction
-
         return canonical_direction(self.route_names)
 
     @cached_property
     def legs(self) -> DataFrame:
-        from ..operators.legs import legs
-
         return legs(self.clean, self.canonical, hot=self.hot)
 
     @cached_property
     def leg_stats(self) -> DataFrame:
-        from ..operators.leg_stats import leg_stats
-
         return leg_stats(self.legs)
 
     @cached_property
     def stop_line(self) -> DataFrame:
-        from ..operators.leg_stats import stop_lines
-
         return stop_lines(self.legs)
+
+    @cached_property
+    def study(self) -> DataFrame:
+        return legs_by_selfjoin(self.arrivals)
+
+    @cached_property
+    def distances(self) -> DataFrame:
+        return pair_distances(self.study, self.quays)
+
+    @cached_property
+    def far_study(self) -> DataFrame:
+        return legs_with_distance(self.study, self.distances)
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return selected_journeys(self.arrivals)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return route_name_ranked(self.legs)

@@ -17,6 +17,12 @@ from .routes import ROUTE
 from .skew import HOT_ROWS, HotGroups, with_neighbours
 from .visits import VISIT_ORDER
 
+#: Columns of the cleaned visits that route names and legs are made from.
+LEG_INPUT = [
+    *ROUTE, "serviceJourneyId", *VISIT_ORDER, "aimedArrivalTime", "aimedDepartureTime", "stop",
+    "lat", "lon",
+]
+
 
 def candidate_legs(
     clean: DataFrame,

@@ -99,11 +99,13 @@ def order_key(order: Sequence[str]) -> Column:
     return F.struct(*parts)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
+def broadcast_left_join(left: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be NULL with a side whose size the caller has bounded."""
+    renamed = F.broadcast(small.withColumnsRenamed({k: f"_r_{k}" for k in keys}))
+    same = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, same, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 def ordered_chunks(
@@ -147,15 +149,12 @@ def chunk_neighbours(
         carried.append(F.lead("_head").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_nc"))
     # One row per (group, chunk): at most groups + chunks rows, hence safe to broadcast.
     carry = edges.agg(*wanted).select("_chunk", *keys, *carried)
-    out = out.join(
-        F.broadcast(carry),
-        (out["_chunk"] == carry["_chunk"]) & same_keys(out, carry, keys),
-        "left",
+    out = broadcast_left_join(out, carry, ["_chunk", *keys])
+    return out.select(
+        *chunks.columns,
+        *[F.coalesce("_prev", "_pc")[c].alias(f"prev_{c}") for c in prev],
+        *[F.coalesce("_next", "_nc")[c].alias(f"next_{c}") for c in next],
     )
-    columns = [chunks[c] for c in chunks.columns]
-    columns += [F.coalesce("_prev", "_pc")[c].alias(f"prev_{c}") for c in prev]
-    columns += [F.coalesce("_next", "_nc")[c].alias(f"next_{c}") for c in next]
-    return out.select(*columns)
 
 
 def with_neighbours(

@@ -10,12 +10,12 @@ from .skew import (
     HOT_ROWS,
     HotGroups,
     bounded_broadcast,
+    broadcast_left_join,
     chunk_neighbours,
     hot_groups,
     nulls_last,
     order_key,
     ordered_chunks,
-    same_keys,
     split_hot,
 )
 
@@ -45,17 +45,29 @@ def stop_dimension(stops: DataFrame, quays: DataFrame) -> DataFrame:
     )
 
 
-def place_visits(arrivals: DataFrame, stopdata: DataFrame) -> DataFrame:
-    """Attach geometry through either the quay id or the stop id.
+def stop_lookup(stopdata: DataFrame) -> DataFrame:
+    """Geometry by either the quay id or the stop id.
 
     Both kinds of id go into one lookup, so the fact is read and joined once: a join with
     the union of two lookups is the union of the two joins.
     """
-    place = ["quay_id", "stop_id", "lat", "lon", "name"]
-    lookup = stopdata.select(F.col("quay_id").alias("stopPointRef"), *place).unionByName(
+    place = ["quay_id", "stop_id", "lat", "lon", F.col("name").alias("stop")]
+    return stopdata.select(F.col("quay_id").alias("stopPointRef"), *place).unionByName(
         stopdata.select(F.col("stop_id").alias("stopPointRef"), *place)
     )
-    return arrivals.join(bounded_broadcast(lookup), "stopPointRef").withColumnRenamed("name", "stop")
+
+
+def place_visits(arrivals: DataFrame, stopdata: DataFrame) -> DataFrame:
+    """Attach geometry; rows come out partitioned by journey.
+
+    If the lookup is small enough to broadcast, the visits are shuffled before they are
+    widened (and multiplied by stop ids), otherwise after the join.
+    """
+    lookup = stop_lookup(stopdata)
+    checked = bounded_broadcast(lookup)
+    if checked is lookup:
+        return arrivals.join(lookup, "stopPointRef").repartition(*JOURNEY)
+    return arrivals.repartition(*JOURNEY).join(checked, "stopPointRef")
 
 
 def _number() -> Column:
@@ -77,7 +89,7 @@ def _flag_starts() -> dict[str, Column]:
 
 
 def _judged_by_window(visits: DataFrame) -> DataFrame:
-    """One explicit shuffle by journey, on which every window rides.
+    """Every window rides on the one shuffle by journey that placing made.
 
     ``first_visit`` ends the journey order, so Catalyst must compute it first. The journey
     order is then sorted once and still holds for the windows that build legs from the
@@ -87,8 +99,7 @@ def _judged_by_window(visits: DataFrame) -> DataFrame:
     along = Window.partitionBy(*JOURNEY).orderBy(*nulls_last([*VISIT_ORDER, "first_visit"]))
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        visits.repartition(*JOURNEY)
-        .withColumn("first_visit", F.row_number().over(at_quay) == 1)
+        visits.withColumn("first_visit", F.row_number().over(at_quay) == 1)
         .select(
             "*",
             *[F.lag(c).over(along).alias(f"prev_{c}") for c in STARTS],
@@ -106,9 +117,7 @@ def _judged_by_chunks(visits: DataFrame, hot: HotGroups, chunk_rows: int) -> Dat
 
     starts = chunks.groupBy(*JOURNEY).agg(*[a.alias(n) for n, a in _flag_starts().items()])
     # one row per hot journey, whose number the sketch bounds
-    out = out.join(F.broadcast(starts), same_keys(out, starts, JOURNEY), "left").drop(
-        *[starts[k] for k in JOURNEY]
-    )
+    out = broadcast_left_join(out, starts, JOURNEY)
     firsts = (
         chunks.groupBy(*JOURNEY, "stop_id", "quay_id")
         .agg(F.min_by("_uid", order_key([*VISIT_ORDER, "_uid"])).alias("_uid"))
@@ -139,13 +148,14 @@ def clean_arrivals(
     """
     if hot is None:
         hot = hot_groups(arrivals, JOURNEY)
-    placed = place_visits(arrivals, stopdata).select(
+    started = arrivals.select(
         "*", visit_start().alias("left_at"), visit_start(planned=True).alias("due_to_leave")
     )
-    cold, big = split_hot(placed, JOURNEY, hot)
-    judged = _judged_by_window(cold)
+    cold, big = split_hot(started, JOURNEY, hot)
+    judged = _judged_by_window(place_visits(cold, stopdata))
     if big is not None:
-        judged = judged.unionByName(_judged_by_chunks(big, hot, chunk_rows))
+        placed = big.join(bounded_broadcast(stop_lookup(stopdata)), "stopPointRef")
+        judged = judged.unionByName(_judged_by_chunks(placed, hot, chunk_rows))
 
     since = lambda now, start: F.coalesce(
         micros_to_seconds(F.unix_micros(now) - F.col(start)), F.lit(0.0)

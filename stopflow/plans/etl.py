@@ -15,7 +15,7 @@ from ..operators.leg_stats import (
     served_datasources,
     stop_lines,
 )
-from ..operators.legs import candidate_legs, with_direction
+from ..operators.legs import LEG_INPUT, candidate_legs, with_direction
 from ..operators.routes import canonical_direction, route_names
 from ..operators.skew import bounded_broadcast, hot_groups
 from ..operators.visits import clean_arrivals, stop_dimension
@@ -74,7 +74,8 @@ def build_legs(spark: SparkSession, root: str, days: list[date]) -> None:
     arrivals = read_days(spark, root, "arrivals", days)
     stopdata = stop_dimension(read_table(spark, root, "stops"), read_table(spark, root, "quays"))
     hot = hot_groups(arrivals, JOURNEY)
-    clean = clean_arrivals(arrivals, stopdata, hot=hot).persist(StorageLevel.MEMORY_AND_DISK)
+    clean = clean_arrivals(arrivals, stopdata, hot=hot).select(*LEG_INPUT)
+    clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         save_partitions(route_names(clean), root, "route_name")
         canonical = canonical_direction(read_table(spark, root, "route_name")).where(

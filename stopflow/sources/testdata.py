@@ -116,11 +116,19 @@ def quays(supplier: DataFrame) -> DataFrame:
 
 
 class Projected:
-    """The tables of one test-data folder and everything derived from them, lazily."""
+    """The tables of one test-data folder and everything derived from them, lazily.
+
+    What the batch writes as tables is persisted here instead (spilling to disk), so that
+    queries which share it do not compute it again.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    @staticmethod
+    def _kept(df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -146,9 +154,7 @@ class Projected:
 
     @cached_property
     def clean(self) -> DataFrame:
-        # Used by both the route names and the legs: compute it once (spills to disk).
-        clean = clean_arrivals(self.arrivals, self.stopdata, hot=self.hot)
-        return clean.persist(StorageLevel.MEMORY_AND_DISK)
+        return self._kept(clean_arrivals(self.arrivals, self.stopdata, hot=self.hot))
 
     @cached_property
     def route_names(self) -> DataFrame:
@@ -160,11 +166,11 @@ class Projected:
 
     @cached_property
     def legs(self) -> DataFrame:
-        return legs(self.clean, self.canonical, hot=self.hot)
+        return self._kept(legs(self.clean, self.canonical, hot=self.hot))
 
     @cached_property
     def leg_stats(self) -> DataFrame:
-        return leg_stats(self.legs)
+        return self._kept(leg_stats(self.legs))
 
     @cached_property
     def stop_line(self) -> DataFrame:
@@ -172,7 +178,7 @@ class Projected:
 
     @cached_property
     def study(self) -> DataFrame:
-        return legs_by_selfjoin(self.arrivals)
+        return self._kept(legs_by_selfjoin(self.arrivals))
 
     @cached_property
     def distances(self) -> DataFrame:

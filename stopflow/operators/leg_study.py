@@ -17,11 +17,11 @@ from ..functions import (
     percent,
     quantile_disc,
     seconds_between,
-    speed_kmh,
     stats_struct,
     within,
 )
 from .delays import since_time
+from .legs import with_speed
 from .skew import bounded_broadcast
 
 NAMED_PAIR = ["previous_stop_name", "stop_name"]
@@ -213,16 +213,16 @@ def self_leg_count(legs: DataFrame) -> DataFrame:
 def legs_with_distance(
     legs: DataFrame, distances: DataFrame, since: date | None = None
 ) -> DataFrame:
-    """Legs between different stops with their distance and the speed it implies. The
-    distances are one row per pair; a busy pair is split by the skew join if they are too
-    many to broadcast."""
+    """Legs between different stops with their distance and the speed it implies.
+
+    The distances are one row per pair. Their number is checked, so that the legs are not
+    shuffled by pair (a busy pair would be a hot key) if they can be broadcast; otherwise the
+    skew join splits busy pairs.
+    """
     moved = legs.where(F.col("previous_stop") != F.col("stop"))
     if since is not None:
         moved = moved.where(since_time("time", since))
-    out = moved.join(distances, ["previous_stop", "stop"])
-    return out.withColumn(
-        "speed_kmh_upper_bound", speed_kmh(F.col("air_distance_km"), F.col("actual_duration"))
-    )
+    return with_speed(moved.join(bounded_broadcast(distances), ["previous_stop", "stop"]))
 
 
 def fastest_legs(legs_distance: DataFrame, k: int = 30) -> DataFrame:

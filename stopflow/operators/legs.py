@@ -99,5 +99,8 @@ def legs(
     return with_direction(candidate_legs(clean, hot, **limits), canonical)
 
 
-def with_speed(df: DataFrame, km: str = "air_distance_km", out: str = "speed_kmh") -> DataFrame:
+def with_speed(
+    df: DataFrame, km: str = "air_distance_km", out: str = "speed_kmh_upper_bound"
+) -> DataFrame:
+    """Add the speed that a leg's distance and duration imply (NULL for zero seconds)."""
     return df.withColumn(out, speed_kmh(F.col(km), F.col("actual_duration")))

@@ -184,6 +184,43 @@ def with_neighbours(
     return out.unionByName(done)
 
 
+def with_positions(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    hot: HotGroups | None = None,
+    chunk_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add ``position`` (1, 2, ... in the group) and ``group_size``. A chunk of a hot group
+    starts counting at the number of rows in the chunks before it."""
+    if hot is None:
+        hot = hot_groups(df, keys)
+    cold, big = split_hot(df, keys, hot)
+    w = Window.partitionBy(*keys)
+    out = cold.select(
+        "*",
+        F.row_number().over(w.orderBy(*nulls_last(order))).cast("bigint").alias("position"),
+        F.count(F.lit(1)).over(w).alias("group_size"),
+    )
+    if big is None:
+        return out
+    chunks = ordered_chunks(big, keys, order, hot.rows, chunk_rows)
+    # at most groups + chunks rows
+    sizes = chunks.groupBy("_chunk", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = w.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_chunk", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(w).alias("group_size"),
+    )
+    inside = Window.partitionBy("_chunk", *keys).orderBy(*nulls_last([*order, "_uid"]))
+    placed = broadcast_left_join(
+        chunks.withColumn("_nr", F.row_number().over(inside)), offsets, ["_chunk", *keys]
+    )
+    return out.unionByName(
+        placed.select(*df.columns, (F.col("_before") + F.col("_nr")).alias("position"), "group_size")
+    )
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key. Spark limits each task to one row per key before the shuffle
     (window group limit), so hot keys shrink to one row per task."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.directions import route_name_ranked
 from ..operators.journeys import selected_journeys
@@ -13,7 +13,7 @@ from ..operators.leg_stats import leg_stats, stop_lines
 from ..operators.leg_study import legs_by_selfjoin, legs_with_distance, pair_distances
 from ..operators.legs import legs
 from ..operators.routes import canonical_direction, route_names
-from ..operators.skew import hot_groups
+from ..operators.skew import hot_groups, with_positions
 from ..operators.visits import clean_arrivals, stop_dimension
 from ..schemas import ARRIVALS, ARRIVALS_EXTRA, JOURNEY, QUAYS, STOPS
 
@@ -24,12 +24,10 @@ FIRST_DAY = 19_723  # 2024-01-01 as days since the epoch
 def arrivals(lineitem: DataFrame) -> DataFrame:
     """One stop visit per order line; an order is a journey."""
     key, part = F.col("l_orderkey"), F.col("l_partkey")
-    order = Window.partitionBy("l_orderkey")
     line = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-    base = lineitem.select("l_orderkey", *line).select(
+    base = with_positions(lineitem.select("l_orderkey", *line), ["l_orderkey"], line).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity",
-        F.row_number().over(order.orderBy(*line)).cast("bigint").alias("seq"),
-        F.count(F.lit(1)).over(order).alias("cnt"),
+        F.col("position").alias("seq"), F.col("group_size").alias("cnt"),
     )
     g = F.expr("l_orderkey div 60")
     even = lambda x: F.pmod(x, F.lit(2)) == 0

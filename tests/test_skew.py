@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stopflow.operators import skew
 from stopflow.operators.delays import lead_gap_stats
 from stopflow.operators.legs import candidate_legs
-from stopflow.operators.skew import HotGroups, first_rows, hot_groups, split_hot, with_neighbours
+from stopflow.operators.skew import HotGroups, first_rows, hot_groups, split_hot, with_neighbours, with_positions
 from stopflow.operators.visits import clean_arrivals
 from stopflow.schemas import JOURNEY
 
@@ -50,6 +50,15 @@ def test_neighbours_against_plain_python(spark):
     assert values(got, "tie", "prev_tie", "next_tie") == sorted(want, key=repr)
 
 
+def test_positions_of_hot_and_cold_groups_match(spark):
+    df = numbered(spark)
+    hot = hot_groups(df, ["k"], min_rows=50)
+    plain = with_positions(df, ["k"], ["nr", "tie"], hot=skew.NO_HOT)
+    split = with_positions(df, ["k"], ["nr", "tie"], hot=hot, chunk_rows=20)
+    assert split.dtypes == plain.dtypes
+    assert values(split, *plain.columns) == values(plain, *plain.columns)
+
+
 def test_one_order_value_for_a_whole_group(spark):
     df = spark.range(200).select(F.lit("k").alias("k"), F.lit(1).alias("nr"), "id")
     hot = hot_groups(df, ["k"], min_rows=1)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, quality, url_filter
+from . import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, url_filter
 from .common import table, text_of
 
 
@@ -137,6 +137,32 @@ SELECT doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n, 0
 FROM d LEFT JOIN counted c USING (doc_id) LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)""")
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+    )
+
+
+OPERATORS["op5_simhash"] = Operator(op5)
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        for kind in secret_scan.KINDS[:3]
+    ]
+    base = secret_scan.spans_text(F.col("base_spans"))
+    return found.select(
+        "doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+OPERATORS["op6_secret_scan"] = Operator(op6)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary()).select(
         "doc_id",

@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word is a run of anything but these six characters (fixed by the contracts).
 WHITE = " \t\n\x0b\x0c\r"
@@ -55,3 +55,24 @@ def small_table(spark: SparkSession, rows: Sequence[Sequence], columns: str) ->
     text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
     parsed = F.from_json(F.lit(text), f"array<struct<{columns.replace(' ', ':').replace(',:', ', ')}>>")
     return spark.range(1, numPartitions=1).select(F.inline(parsed))
+
+
+def text_digest(column: str = "text") -> Column:
+    return F.unhex(F.sha2(text_of(column).cast("binary"), 256))
+
+
+def keep_rows(
+    docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` listed in ``kept(id, digest)``, with all their columns. Rows come back by
+    (id, text digest), which different documents do not share; of repeated rows one is taken."""
+    listed = kept.select(F.col("id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
+    marked = docs.withColumn("_digest", text_digest(text_col))
+    same = (F.col("_digest") == F.col("_keep_digest")) & F.col(id_col).eqNullSafe(F.col("_keep_id"))
+    once = Window.partitionBy("_digest", id_col).orderBy("_digest")
+    return (
+        marked.join(listed, same, "left_semi")
+        .withColumn("_once", F.row_number().over(once))
+        .filter("_once = 1")
+        .select(*[f"`{c}`" for c in docs.columns])
+    )

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import small_table, text_of, written
+from .common import keep_rows, small_table, text_digest, written
 
 #: Entries that the summary tracks; bounds the broadcast (at most this many rows of ~80 bytes).
 COUNTERS = 4096
@@ -29,7 +29,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return written(
         docs.select(
             F.col(id_col).alias("id"),
-            F.unhex(F.sha2(text_of(text_col).cast("binary"), 256)).alias("digest"),
+            text_digest(text_col).alias("digest"),
         ).withColumn("row", F.monotonically_increasing_id()),
         "digests",
     )
@@ -92,19 +92,6 @@ def duplicate_groups(
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS
 ) -> DataFrame:
-    """The documents that stay, with all their columns. Documents come back to their decision
-    by (id, digest), which copies of one text do not share; of repeated rows one is taken."""
-    kept = (
-        duplicate_groups(docs, id_col, text_col, counters)
-        .filter("kept")
-        .select(F.col("id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    )
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(text_of(text_col).cast("binary"), 256)))
-    same = (F.col("_digest") == F.col("_keep_digest")) & F.col(id_col).eqNullSafe(F.col("_keep_id"))
-    staying = marked.join(kept, same, "left_semi")
-    once = Window.partitionBy("_digest").orderBy("_digest")
-    return (
-        staying.withColumn("_once", F.row_number().over(once))
-        .filter("_once = 1")
-        .select(*[f"`{c}`" for c in docs.columns])
-    )
+    """The documents that stay, with all their columns."""
+    kept = duplicate_groups(docs, id_col, text_col, counters).filter("kept")
+    return keep_rows(docs, kept, id_col, text_col)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, url_filter
+from . import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, url_filter
 from .common import table, text_of
 
 
@@ -175,6 +175,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS["op8_bpe"] = Operator(op8)
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_substrings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed",
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+OPERATORS["op9_substring_dedup"] = Operator(op9, r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT r, i, md5(array_to_string(words[i : i + 34], ' ')) AS h
+  FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM d)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1),
+gone AS (SELECT DISTINCT r, i + k AS i FROM again, range(0, 35) AS s(k)),
+removed AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+said AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM said ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)""")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, url_filter
+from . import bpe, exact_dedup, html_text, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, url_filter
 from .common import table, text_of
 
 
@@ -163,6 +163,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS["op6_secret_scan"] = Operator(op6)
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
+OPERATORS["op7_html_text"] = Operator(op7)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary()).select(
         "doc_id",

@@ -67,12 +67,15 @@ def keep_rows(
     """The rows of ``docs`` listed in ``kept(id, digest)``, with all their columns. Rows come back by
     (id, text digest), which different documents do not share; of repeated rows one is taken."""
     listed = kept.select(F.col("id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    marked = docs.withColumn("_digest", text_digest(text_col))
-    same = (F.col("_digest") == F.col("_keep_digest")) & F.col(id_col).eqNullSafe(F.col("_keep_id"))
-    once = Window.partitionBy("_digest", id_col).orderBy("_digest")
+    marked = docs.select(
+        F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"),
+        F.col(f"`{id_col}`").alias("_id"), text_digest(f"`{text_col}`").alias("_digest"),
+    )
+    same = (F.col("_digest") == F.col("_keep_digest")) & F.col("_id").eqNullSafe(F.col("_keep_id"))
+    once = Window.partitionBy("_digest", "_id").orderBy("_digest")
     return (
         marked.join(listed, same, "left_semi")
         .withColumn("_once", F.row_number().over(once))
         .filter("_once = 1")
-        .select(*[f"`{c}`" for c in docs.columns])
+        .select("_row.*")
     )

@@ -114,26 +114,29 @@ def dedup_lines(
     doomed = repeated_lines(docs, id_col, text_col, min_lines, gram).select(
         F.col("id").alias("_id"), F.col("text_digest").alias("_digest"), F.col("doomed").alias("_doomed")
     )
-    marked = docs.withColumn("_own_digest", F.unhex(F.md5(text_of(text_col).cast("binary"))))
-    same = (F.col("_own_digest") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_id"))
-    joined = marked.join(doomed, same, "left")
-    lines = F.split(text_of(text_col), "\n")
+    text = text_of(f"`{text_col}`")
+    marked = docs.select(
+        F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"),
+        F.col(f"`{id_col}`").alias("_own_id"), F.unhex(F.md5(text.cast("binary"))).alias("_own_digest"),
+        F.split(text, "\n").alias("_lines"),
+    )
+    same = (F.col("_own_digest") == F.col("_digest")) & F.col("_own_id").eqNullSafe(F.col("_id"))
+    step = marked.join(doomed, same, "left")
     # Number the lines that hold a word, then keep what is not listed.
-    step = joined.withColumn("_lines", lines)
     step = step.withColumn(
         "_numbers",
         F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _has_word(F.get("_lines", i))),
     )
     step = step.withColumn("_gone", F.transform("_doomed", lambda k: F.get("_numbers", k)))
-    kept = F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i))
-    removed = F.coalesce(F.size("_gone"), F.lit(0))
+    kept = F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    changed = F.col("_gone").isNotNull()
     own = [
-        F.when(F.col("_gone").isNull(), F.col(f"`{c}`")).otherwise(F.array_join(kept, "\n")).alias(c)
-        if c == text_col else F.col(f"`{c}`")
+        F.when(changed, kept).otherwise(F.col(f"_row.`{c}`")).alias(c)
+        if c == text_col else F.col(f"_row.`{c}`")
         for c in docs.columns if c not in ("n_lines", "n_removed")
     ]
     return step.select(
         *own,
         F.size("_numbers").cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("n_removed"),
+        F.when(changed, F.size("_gone")).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -69,11 +69,11 @@ def _windows(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the measures of each text. Added columns: n_words, word_chars, n_symbols,
-    n_lines, n_dup_lines, n_repeat_words, symbol_ratio, dup_line_ratio, mean_word_length,
-    stop_word_ratio (names in ``docs`` that clash with them are replaced)."""
-    text = text_of(text_col)
-    step = docs.withColumns({"_text": text})
+    """The measures of each text beside ``_own``, the row as a struct (so that no column of
+    ``docs`` can clash)."""
+    step = docs.select(
+        F.struct(*[f"`{c}`" for c in docs.columns]).alias("_own"), text_of(f"`{text_col}`").alias("_text")
+    )
     step = step.withColumns({
         "_words": words_of(F.col("_text")),
         "_lines": F.filter(
@@ -141,7 +141,8 @@ def judged(
     docs: DataFrame, text_col: str = "text",
     base: Sequence[Rule] = BASE, rules: Sequence[Rule] = RULES,
 ) -> DataFrame:
-    """``docs`` with the measures, ``base_failed``, ``kept`` and ``failed_rules`` (names)."""
+    """``docs`` with the measures, ``base_failed``, ``kept`` and ``failed_rules`` (names); columns
+    of ``docs`` with these names are replaced."""
     def any_of(table: Sequence[Rule]) -> Column:
         out = F.lit(False)
         for rule in table:
@@ -149,9 +150,10 @@ def judged(
         return out
 
     failed = F.array_compact(F.array(*[F.when(r.fails(), F.lit(r.name)) for r in (*base, *rules)]))
-    own = [f"`{c}`" for c in docs.columns if c not in (*MEASURES, "base_failed", "kept", "failed_rules")]
+    added = (*MEASURES, "base_failed", "kept", "failed_rules")
     return measured(docs, text_col).select(
-        *own, *MEASURES,
+        *[F.col(f"_own.`{c}`") for c in docs.columns if c not in added],
+        *MEASURES,
         any_of(base).alias("base_failed"),
         (~any_of([*base, *rules])).alias("kept"),
         failed.alias("failed_rules"),
@@ -160,9 +162,8 @@ def judged(
 
 def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass every rule, with their own columns."""
-    marked = docs.withColumn("_own", F.struct(*[f"`{c}`" for c in docs.columns]))
-    return (
-        judged(marked.select("_own", F.col(text_col).alias("_judged")), "_judged")
-        .filter("kept")
-        .select("_own.*")
-    )
+    own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), f"`{text_col}`")
+    # The row number keeps the optimizer from pushing the filter below the measures, which would
+    # write them out once for each of their uses.
+    marked = judged(own, text_col).withColumn("_n", F.monotonically_increasing_id())
+    return marked.filter(F.col("kept") & (F.col("_n") >= 0)).select("_row.*")

@@ -210,9 +210,9 @@ KEY_SHIFT = 58  # a key is part << KEY_SHIFT | value
 
 
 def choose_m(n: int, tau: int) -> int:
-    """The most parts for which chance meetings stay few: with thresholds spread evenly, a
-    fingerprint probes so many values of 64 / m bits each."""
-    for m in range(min(4, tau + 1), 2, -1):
+    """The most parts, three at most, for which chance meetings stay few: with thresholds spread
+    evenly, a fingerprint probes so many values of 64 / m bits each."""
+    for m in range(min(3, tau + 1), 2, -1):
         width, budget = BITS // m, tau - m + 1
         probes = 0
         for k in range(m):

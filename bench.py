@@ -72,7 +72,7 @@ def main() -> None:
         return read_table(spark, root, name)
 
     def served(name: str) -> DataFrame:
-        return read_table(spark, f"{root}/{etl.SERVING}", name)
+        return read_table(spark, etl.serving_root(spark, root), name)
 
     def study() -> DataFrame:
         return spark.read.parquet(legs_path)

@@ -16,7 +16,8 @@ numbered AS (
 ), clocked AS (
   SELECT *, DATE '2024-01-01' + CAST(j % 60 AS INT) AS od,
     CASE j % 20 WHEN 0 THEN 'SOF' WHEN 10 THEN 'BBB' ELSE 'AAA' END AS src,
-    (19723 + j % 60) * 86400 + (7 + g % 2) * 3600 + 300 * (nr - 1) AS aim,
+    (19723 + j % 60) * 86400 + (7 + g % 2) * 3600 + 300 * (nr - 1)
+      - CASE WHEN nr > 1 AND part % 16 = 3 THEN 300 ELSE 0 END AS aim,
     6 * qty - 60 + CASE WHEN part % 500 = 2 THEN 8000 ELSE 0 END AS late
   FROM numbered
 ), arrivals AS (
@@ -32,7 +33,7 @@ numbered AS (
     CASE WHEN j % 3 = 0 THEN 'Stop 0' END AS originName,
     CASE WHEN j % 3 = 0 THEN 'Stop 4' END AS destinationName,
     CASE WHEN j % 4 = 0 THEN 'bus' END AS vehicleMode,
-    j % 83 = 0 AS extraCall, (j % 61 = 5 AND nr = 2) AS stopCancellation,
+    j % 83 = 0 AS extraCall, ((j % 61 = 5 AND nr = 2) OR (j % 89 = 7 AND nr IN (2, 3, 5))) AS stopCancellation,
     (j % 97 = 0 AND nr >= 4) AS journeyCancellation, (j % 50 = 7 AND nr >= 3) AS estimated,
     CASE WHEN nr > 1 THEN make_timestamp(aim * 1000000) END AS aimedArrivalTime,
     CASE WHEN nr > 1 THEN make_timestamp((aim + late) * 1000000) END AS arrivalTime,

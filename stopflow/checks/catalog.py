@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
@@ -15,6 +13,7 @@ from ..operators import delays, directions, journeys, leg_stats as ls, leg_study
 from ..plans import etl
 from ..schemas import LEG_STATS
 from ..sources import ingest, tables
+from ..sources.shared import shared_folder
 from ..sources.testdata import Projected
 from . import contract
 from .base_sql import with_base
@@ -50,12 +49,8 @@ def projected(spark: SparkSession, sf_dir: str) -> Projected:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for tables a query writes: next to the cluster's checkpoints, or a
-    temporary folder where none are configured (local tests)."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stopflow-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="stopflow-tables-")
+    """A new folder for tables a query writes."""
+    return shared_folder(spark, "tables")
 
 
 QUERIES: dict[str, Query] = {}
@@ -330,7 +325,7 @@ add("legs_at_stop", "study",
     "lineRef:s previous_stop_name:s stop_name:s time:t planned_time:t planned_duration:f "
     "actual_duration:f deviation:f delay:f",
     lambda p: leg_study.legs_at_stop(p.study, STOP, FEB, 10),
-    f"SELECT * FROM study WHERE stop_name = '{STOP}' AND time >= DATE '2024-02-01' "
+    f"SELECT * FROM study WHERE stop_name = '{STOP}' AND time > DATE '2024-02-01' "
     "ORDER BY time DESC, datedServiceJourneyId, previous_stop, stop LIMIT 10")
 add("zero_planned_pct", "study", "percent:f", lambda p: leg_study.zero_planned_pct(p.study),
     "SELECT 100.0::DOUBLE * avg(CASE WHEN planned_duration = 0 THEN 1 ELSE 0 END) AS percent FROM study")
@@ -492,12 +487,13 @@ add("after_cancellation", "arrivals",
 # In the test data a journey has at most one cancelled stop, so the flag of the journey
 # stands in for it: its visits come in runs.
 add("cancellation_context", "arrivals",
-    f"{_J} journeyCancellation:b sequenceNr:i last_seen:i? next_seen:i? last_seen_time:t? next_seen_time:t?",
-    lambda p: journeys.cancellation_context(
-        p.arrivals.withColumn("stopCancellation", F.col("journeyCancellation")), None, p.hot),
+    f"{_J} journeyCancellation:b sequenceNr:i last_seen:i? next_seen:i? arrivalTime:t? last_seen_time:t? "
+    "next_seen_time:t? last_canceled:b next_canceled:b",
+    lambda p: journeys.cancellation_context(p.arrivals, None, p.hot),
     "SELECT * FROM (SELECT *, lag(sequenceNr) OVER w AS last_seen, lead(sequenceNr) OVER w AS next_seen, "
+    "lag(stopCancellation) OVER w AS last_canceled, lead(stopCancellation) OVER w AS next_canceled, "
     "lag(arrivalTime) OVER w AS last_seen_time, lead(arrivalTime) OVER w AS next_seen_time FROM arrivals "
-    "WHERE journeyCancellation AND NOT estimated WINDOW w AS (PARTITION BY serviceJourneyId, operatingDate "
+    "WHERE stopCancellation AND NOT estimated WINDOW w AS (PARTITION BY serviceJourneyId, operatingDate "
     "ORDER BY sequenceNr)) WHERE coalesce(last_seen, next_seen) IS NOT NULL")
 add("selected_journeys", "good", _J, lambda p: p.selected,
     "SELECT DISTINCT serviceJourneyId, operatingDate FROM good")
@@ -733,10 +729,13 @@ def _sorted(p: Projected) -> DataFrame:
 
 
 add("sorted_export", "routes", _NAMES, _sorted, "SELECT * FROM route_name")
-add("describe_legs", "legs", "col_name:s data_type:s", lambda p: tables.describe(p.legs),
-    "SELECT column_name AS col_name, CASE column_type WHEN 'DATE' THEN 'date' WHEN 'VARCHAR' THEN 'string' "
-    "WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'DOUBLE' THEN 'double' WHEN 'BIGINT' THEN 'bigint' ELSE 'int' END "
-    "AS data_type FROM (DESCRIBE SELECT * FROM legs)")
+add("describe_legs", "legs", "col_name:s data_type:s filled:i", lambda p: tables.describe(p.legs),
+    "SELECT name AS col_name, filled, CASE name WHEN 'operatingDate' THEN 'date' WHEN 'sequenceNr' THEN 'bigint' "
+    "WHEN 'start_time' THEN 'timestamp' WHEN 'to_lat' THEN 'double' WHEN 'to_lon' THEN 'double' "
+    "WHEN 'from_lat' THEN 'double' WHEN 'from_lon' THEN 'double' WHEN 'actual_duration' THEN 'int' "
+    "WHEN 'planned_duration' THEN 'int' WHEN 'delay' THEN 'int' WHEN 'deviation' THEN 'int' "
+    "WHEN 'air_distance_meters' THEN 'int' ELSE 'string' END AS data_type "
+    "FROM (UNPIVOT (SELECT count(COLUMNS('(.*)')) AS '\\1' FROM legs) ON COLUMNS(*) INTO NAME name VALUE filled)")
 
 
 def _incremental(p: Projected) -> DataFrame:
@@ -747,7 +746,39 @@ def _incremental(p: Projected) -> DataFrame:
     etl.run(p.spark, root)
     ingest.ingest_days(p.arrivals, root, date(2024, 2, 1), date(2024, 3, 1))
     etl.run(p.spark, root)
-    return p.spark.read.schema(LEG_STATS).parquet(f"{root}/{etl.SERVING}/leg_stats")
+    return p.spark.read.schema(LEG_STATS).parquet(f"{etl.serving_root(p.spark, root)}/leg_stats")
 
 
 add("etl_incremental_leg_stats", "stats", _LEG_STATS, _incremental, "SELECT * FROM leg_stats")
+
+
+def _late_days(p: Projected) -> DataFrame:
+    """Two weeks of January come after February has been done; the statistics must follow."""
+    root = _ingested(p, date(2024, 1, 1), date(2024, 1, 15))
+    ingest.ingest_dim(p.stops, root, "stops")
+    ingest.ingest_dim(p.quays, root, "quays")
+    ingest.ingest_days(p.arrivals, root, date(2024, 1, 29), date(2024, 3, 1))
+    etl.run(p.spark, root)
+    ingest.ingest_days(p.arrivals, root, date(2024, 1, 1), date(2024, 3, 1))
+    etl.run(p.spark, root)
+    return p.spark.read.schema(LEG_STATS).parquet(f"{etl.serving_root(p.spark, root)}/leg_stats")
+
+
+add("etl_late_days_leg_stats", "stats", _LEG_STATS, _late_days, "SELECT * FROM leg_stats")
+
+
+def _zoneless(p: Projected) -> DataFrame:
+    """Visits whose times carry no zone, meant in UTC, taken in and counted by hour of recording."""
+    zone = p.spark.conf.get("spark.sql.session.timeZone")
+    rows = p.arrivals.withColumns({
+        f.name: F.to_utc_timestamp(f.name, zone).cast("timestamp_ntz")
+        for f in p.arrivals.schema if f.dataType.simpleString() == "timestamp"
+    })
+    root = scratch(p.spark)
+    ingest.ingest_days(rows, root, date(2024, 1, 1), date(2024, 3, 1))
+    return tables.read_table(p.spark, root, "arrivals")
+
+
+add("ingest_zoneless", "arrivals",
+    "operatingDate:d serviceJourneyId:s sequenceNr:i recordedAtTime:t arrivalTime:t? aimedArrivalTime:t? "
+    "departureTime:t? aimedDepartureTime:t?", _zoneless, "SELECT * FROM arrivals")

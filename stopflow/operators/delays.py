@@ -200,8 +200,9 @@ def lead_gap_stats(arrivals: DataFrame, hot: HotGroups | None = None) -> DataFra
     )
 
 
-def since_time(column: str, since: date | datetime) -> Column:
-    """``column >= since`` with ``since`` read as UTC, whatever the session's zone."""
+def since_time(column: str, since: date | datetime, strict: bool = False) -> Column:
+    """``column >= since`` (``>`` with ``strict``) with ``since`` read as UTC, whatever the session's zone."""
     at = datetime(since.year, since.month, since.day) if not isinstance(since, datetime) else since
     seconds = int((at.replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds())
-    return F.col(column) >= F.timestamp_seconds(F.lit(seconds))
+    at = F.timestamp_seconds(F.lit(seconds))
+    return F.col(column) > at if strict else F.col(column) >= at

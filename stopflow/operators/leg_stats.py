@@ -88,6 +88,26 @@ def arrivals_stats(arrivals: DataFrame) -> DataFrame:
     )
 
 
+def sources_by_day(arrivals: DataFrame) -> DataFrame:
+    """Rows and last name in alphabetical order of each source on each day."""
+    return arrivals.groupBy("operatingDate", "dataSource").agg(
+        F.max("dataSourceName").alias("dataSourceName"), F.count(F.lit(1)).alias("arrivals")
+    )
+
+
+def lines_by_day(legs: DataFrame) -> DataFrame:
+    return legs.select("operatingDate", "lineRef", "dataSource", "from_stop", "to_stop").distinct()
+
+
+def arrivals_stats_by_day(source_day: DataFrame) -> DataFrame:
+    """:func:`arrivals_stats` from the counts by day."""
+    return source_day.agg(
+        F.min("operatingDate").alias("min_date"),
+        F.max("operatingDate").alias("max_date"),
+        F.coalesce(F.sum("arrivals"), F.lit(0)).alias("total_arrivals"),
+    )
+
+
 def served_datasources(datasources: DataFrame, leg_stats: DataFrame) -> DataFrame:
     """Sources that occur in the statistics."""
     return datasources.join(leg_stats, "dataSource", "left_semi").distinct()

@@ -65,7 +65,7 @@ def legs_by_selfjoin(
 def legs_at_stop(legs: DataFrame, stop: str, since: date, k: int = 10) -> DataFrame:
     """Sample of legs into a stop without their ids, the newest first."""
     return (
-        legs.where((F.col("stop_name") == stop) & since_time("time", since))
+        legs.where((F.col("stop_name") == stop) & since_time("time", since, strict=True))
         .orderBy(F.desc("time"), "datedServiceJourneyId", "previous_stop", "stop")
         .drop("previous_stop", "stop", "datedServiceJourneyId")
         .limit(k)

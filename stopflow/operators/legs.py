@@ -18,10 +18,7 @@ from .skew import HOT_ROWS, HotGroups, with_neighbours
 from .visits import VISIT_ORDER
 
 #: Columns of the cleaned visits that route names and legs are made from.
-LEG_INPUT = [
-    *ROUTE, "serviceJourneyId", *VISIT_ORDER, "aimedArrivalTime", "aimedDepartureTime", "stop",
-    "lat", "lon",
-]
+LEG_INPUT = list(dict.fromkeys([*ROUTE, "serviceJourneyId", *VISIT_ORDER, "stop", "lat", "lon"]))
 
 
 def candidate_legs(
@@ -39,7 +36,7 @@ def candidate_legs(
     journey partitioning that cleaning already produced, hence no further shuffle.
     """
     known = clean.where(" AND ".join(f"{c} IS NOT NULL" for c in ROUTE)).select(
-        *ROUTE, "serviceJourneyId", *VISIT_ORDER, "stop", "lat", "lon",
+        *LEG_INPUT,
         F.unix_micros("arrivalTime").alias("arrived"),
         F.unix_micros("aimedArrivalTime").alias("due"),
         visit_start().alias("left_at"),

@@ -2,7 +2,7 @@
 
 * :func:`bounded_broadcast` broadcasts a side only after checking its row count.
 * :func:`hot_groups` finds keys too large for one task with a mergeable top-k sketch: one
-  scan, no shuffle of the keys, at most ``k`` entries on the driver.
+  scan, no shuffle of the keys, at most ``MAX_HOT`` entries on the driver.
 * :func:`with_neighbours` gives each row the values of the row before / after it in its
   group. Ordinary groups use a window; hot groups are cut into ordered chunks over many
   tasks, and each chunk's edge row is carried over to the chunk next to it. Both ways are
@@ -12,14 +12,16 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..sources.shared import shared_folder
+
 BROADCAST_ROWS = 500_000
 HOT_ROWS = 2_000_000
+MAX_HOT = 50_000
 
 
 def bounded_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -34,10 +36,7 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's checkpoint folder; choose one only where none is set (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or tempfile.mkdtemp(prefix="stopflow-checkpoint-")
-        )
+        context.setCheckpointDir(shared_folder(spark, "checkpoint"))
 
 
 @dataclass(frozen=True)
@@ -56,15 +55,19 @@ NO_HOT = HotGroups()
 
 
 def hot_groups(
-    df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, k: int = 10_000
+    df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS
 ) -> HotGroups:
-    """Groups with at least ``min_rows`` rows. Tables below that size cost one count."""
+    """Groups with at least ``min_rows`` rows, or one part in MAX_HOT of the table where that
+    is more. So at most ``k`` groups can be hot, and the sketch lists that many. Tables below
+    ``min_rows`` cost one count."""
     total = df.count()
     if total < min_rows:
         return NO_HOT
+    min_rows = max(min_rows, total // MAX_HOT)
+    k = total // min_rows + 1
     top = (
         df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.expr(f"approx_top_k(h, {int(k)}, {10 * int(k)})").alias("top"))
+        .agg(F.expr(f"approx_top_k(h, {int(k)}, {min(10 * int(k) + 1000, 1_000_000)})").alias("top"))
         .first()
         .top
     )
@@ -76,7 +79,7 @@ def split_hot(
     df: DataFrame, keys: Sequence[str], hot: HotGroups
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary groups, rows of hot groups or None). The list of hashes has at
-    most ``k`` entries, so broadcasting it is bounded."""
+    most ``MAX_HOT`` entries, so broadcasting it is bounded."""
     if not hot:
         return df, None
     listed = F.broadcast(

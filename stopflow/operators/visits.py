@@ -20,8 +20,12 @@ from .skew import (
 )
 
 # The order of visits in a journey. A stop id stands for every quay of the stop, so several
-# rows may share a sequence number; the columns after it make the order total.
-VISIT_ORDER = ["sequenceNr", "quay_id", "arrivalTime", "departureTime"]
+# rows may share a sequence number; the columns after it make the order total (up to rows
+# that are equal in all that cleaning and legs carry on).
+VISIT_ORDER = [
+    "sequenceNr", "quay_id", "arrivalTime", "departureTime", "aimedArrivalTime",
+    "aimedDepartureTime", "lineRef", "directionRef", "dataSource",
+]
 STARTS = ["left_at", "due_to_leave"]
 
 CLEAN_COLUMNS = [

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.leg_stats import (
-    arrivals_stats,
+    arrivals_stats_by_day,
     datasource_lines,
     datasources,
     leg_stats,
+    lines_by_day,
     served_datasources,
+    sources_by_day,
     stop_lines,
 )
 from ..operators.legs import LEG_INPUT, candidate_legs, with_direction
@@ -21,11 +24,16 @@ from ..operators.skew import bounded_broadcast, hot_groups
 from ..operators.visits import clean_arrivals, stop_dimension
 from ..schemas import JOURNEY
 from ..sources.tables import (
-    daily_partitions,
+    date_frame,
     dates,
-    monthly_partitions,
+    drop_partitions,
+    folders,
+    mark,
+    months_of,
+    partition_values,
     read_days,
     read_table,
+    remove,
     save_partitions,
     table_path,
     write_clustered,
@@ -39,28 +47,29 @@ def plan_days(
     spark: SparkSession, root: str, from_date: date | None = None, invalidate: bool = False
 ) -> DataFrame:
     """Days that have arrivals but no legs yet (all of them with ``invalidate``)."""
-    days = daily_partitions(spark, root, "arrivals")
+    days = set(partition_values(spark, root, "arrivals", "operatingDate"))
     if not invalidate:
-        days = days.join(daily_partitions(spark, root, "legs"), "day", "left_anti")
-    if from_date is not None:
-        days = days.where(F.col("day") >= F.lit(from_date))
-    return days
+        days -= set(partition_values(spark, root, "legs", "operatingDate"))
+    return date_frame(spark, sorted(d for d in days if from_date is None or d >= from_date))
 
 
 def plan_months(
-    spark: SparkSession, root: str, from_date: date | None = None, invalidate: bool = False
+    spark: SparkSession,
+    root: str,
+    from_date: date | None = None,
+    invalidate: bool = False,
+    built: Iterable[date] = (),
 ) -> DataFrame:
-    """Months without statistics and always the newest one, whose data is still growing."""
-    available = monthly_partitions(spark, root, "legs")
-    if invalidate:
-        need = available
-    else:
-        newest = available.agg(F.max("month").alias("month")).where("month IS NOT NULL")
-        done = monthly_partitions(spark, root, "leg_stats", truncate=False)
-        need = newest.union(available.join(done, "month", "left_anti")).distinct()
-    if from_date is not None:
-        need = need.where(F.col("month") >= F.lit(from_date.replace(day=1)))
-    return need
+    """Months to (re)compute: those without statistics, always the newest one, whose data is still growing,
+    and the months of the days in ``built``, also late days of a month long done."""
+    available = months_of(partition_values(spark, root, "legs", "operatingDate"))
+    need = set(available)
+    if not invalidate:
+        need -= set(partition_values(spark, root, "leg_stats", "month"))
+        need |= {*available[-1:], *months_of(built)}
+    first = from_date.replace(day=1) if from_date is not None else date.min
+    # A month whose last day is gone stays on the list, so that its statistics go too.
+    return date_frame(spark, sorted(m for m in need if m >= first or m in set(months_of(built))), "month")
 
 
 def build_legs(spark: SparkSession, root: str, days: list[date]) -> None:
@@ -69,8 +78,13 @@ def build_legs(spark: SparkSession, root: str, days: list[date]) -> None:
     The cleaned visits feed both, so they are persisted (to disk if need be; lost blocks
     are computed again). The route names are written first: the canonical direction comes
     from the whole history including these days, and a route's first direction is the same
-    for all days from its first one on, so a single pass equals a day-by-day loop.
+    for all days from its first one on, so a single pass equals a loop over ascending days.
+    Late days can give a route an earlier first direction; days written before keep theirs.
+    Old partitions go first: days that yield no rows any more leave none behind, and days of
+    a run that breaks off are missing ones to the next run.
     """
+    for name in ("route_name", "legs", *DAY_TABLES):
+        drop_partitions(spark, root, name, days)
     arrivals = read_days(spark, root, "arrivals", days)
     stopdata = stop_dimension(read_table(spark, root, "stops"), read_table(spark, root, "quays"))
     hot = hot_groups(arrivals, JOURNEY)
@@ -87,35 +101,87 @@ def build_legs(spark: SparkSession, root: str, days: list[date]) -> None:
         clean.unpersist()
 
 
+#: Small tables by day, from which the lookup tables are made.
+DAY_TABLES = ("source_day", "line_day")
+
+
+def build_days(spark: SparkSession, root: str) -> None:
+    """Bring the tables by day up to date; days already there are not read again."""
+    for name, source in (("source_day", "arrivals"), ("line_day", "legs")):
+        there = set(partition_values(spark, root, source, "operatingDate"))
+        have = set(partition_values(spark, root, name, "operatingDate"))
+        drop_partitions(spark, root, name, have - there)
+        if there <= have:
+            continue
+        rows = read_days(spark, root, source, sorted(there - have))
+        make = sources_by_day if name == "source_day" else lines_by_day
+        save_partitions(make(rows), root, name)
+
+
 def build_dimensions(spark: SparkSession, root: str) -> None:
-    legs = read_table(spark, root, "legs")
-    write_table(datasources(read_table(spark, root, "arrivals")), root, "datasources")
-    write_table(stop_lines(legs), root, "stop_line")
-    write_table(datasource_lines(legs), root, "datasource_line")
+    build_days(spark, root)
+    write_table(datasources(read_table(spark, root, "source_day")), root, "datasources")
+    write_table(stop_lines(read_table(spark, root, "line_day")), root, "stop_line")
+    write_table(datasource_lines(read_table(spark, root, "stop_line")), root, "datasource_line")
 
 
 def build_leg_stats(spark: SparkSession, root: str, months: list[date], tz: str = "UTC") -> None:
+    """Statistics of ``months``; their old partitions go first, as in :func:`build_legs`."""
     if not months:
         return
-    legs = read_table(spark, root, "legs").where(F.trunc("operatingDate", "MM").isin(months))
-    save_partitions(leg_stats(legs, tz=tz), root, "leg_stats")
+    drop_partitions(spark, root, "leg_stats", months)
+    days = [d for d in partition_values(spark, root, "legs", "operatingDate")
+            if d.replace(day=1) in set(months)]
+    if days:
+        save_partitions(leg_stats(read_days(spark, root, "legs", days), tz=tz), root, "leg_stats")
 
 
 SERVING = "serving"
+READY = "_READY"
 
 
-def publish(spark: SparkSession, root: str) -> None:
+def serving_versions(spark: SparkSession, root: str) -> list[str]:
+    """Folders of complete publications, the newest last."""
+    out = table_path(root, SERVING)
+    return [
+        f"{out}/{v}" for v in folders(spark, out) if READY in folders(spark, f"{out}/{v}")
+    ]
+
+
+def serving_root(spark: SparkSession, root: str) -> str:
+    """Where the newest complete set of serving tables lies."""
+    found = serving_versions(spark, root)
+    if not found:
+        raise FileNotFoundError(f"nothing has been published under {root}")
+    return found[-1]
+
+
+def publish(spark: SparkSession, root: str) -> str:
     """Write the small tables that queries read, the statistics clustered by month, hour
-    and source so that a query for one of them skips the rest."""
+    and source so that a query for one of them skips the rest.
+
+    They go into a folder of their own, which counts once its mark is made, the last step. Readers see one
+    publication or the other, never a mixture; the one before stays for those still reading it.
+    """
+    before = serving_versions(spark, root)
+    number = int(before[-1].rpartition("v")[2]) + 1 if before else 1
+    out = f"{table_path(root, SERVING)}/v{number:08d}"
+    remove(spark, out)
     stats = read_table(spark, root, "leg_stats")
-    out = table_path(root, SERVING)
     write_clustered(
         stats, table_path(out, "leg_stats"), ["month", "hour", "dataSource"], ["from_stop", "to_stop"]
     )
     write_table(served_datasources(read_table(spark, root, "datasources"), stats), out, "datasources")
     write_table(read_table(spark, root, "datasource_line"), out, "datasource_line")
     write_table(read_table(spark, root, "stop_line"), out, "stop_line")
-    write_table(arrivals_stats(read_table(spark, root, "arrivals")), out, "arrivals_stats")
+    write_table(arrivals_stats_by_day(read_table(spark, root, "source_day")), out, "arrivals_stats")
+    mark(spark, f"{out}/{READY}")
+    for old in before[:-1]:
+        remove(spark, old)
+    return out
+
+
+UNPUBLISHED = "_unpublished"
 
 
 def run(
@@ -123,20 +189,34 @@ def run(
     root: str,
     from_date: date | None = None,
     invalidate: bool = False,
-    batch_days: int | None = None,
+    batch_days: int | None = 31,
     tz: str = "UTC",
 ) -> dict[str, list[date]]:
     """Bring every derived table up to date; returns the days and months worked on.
 
-    ``batch_days`` bounds how many days are held at once in a long back-fill (the default
-    takes all missing days together).
+    Days that come late are built like any others, and the statistics of their months again.
+    With no new day and nothing left over from a run that broke off, only folders are
+    listed. ``batch_days`` bounds how many days are held at once in a long back-fill (None: all).
     """
     days = dates(plan_days(spark, root, from_date, invalidate))
+    note = table_path(root, UNPUBLISHED)
+    if days:
+        mark(spark, note)
+        # Until they are made again, the statistics of these months are missing, hence planned.
+        drop_partitions(spark, root, "leg_stats", months_of(days))
     size = batch_days or max(len(days), 1)
     for i in range(0, len(days), size):
         build_legs(spark, root, days[i : i + size])
+    months = dates(plan_months(spark, root, from_date, invalidate, days))
+    if not days and not invalidate:
+        done = set(partition_values(spark, root, "leg_stats", "month"))
+        months = [m for m in months if m not in done]
+        left_over = UNPUBLISHED in folders(spark, root) or not serving_versions(spark, root)
+        if not months and not left_over:
+            return {"days": [], "months": []}
+    mark(spark, note)
     build_dimensions(spark, root)
-    months = dates(plan_months(spark, root, from_date, invalidate))
     build_leg_stats(spark, root, months, tz)
     publish(spark, root)
+    remove(spark, note)
     return {"days": days, "months": months}

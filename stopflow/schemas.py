@@ -64,6 +64,13 @@ DATASOURCE_LINE = _schema("dataSource string, lineRef string")
 STOP_LINE = _schema(
     "lineRef string, dataSource string, from_stop string, to_stop string"
 )
+#: What each day adds to the small tables: rows and latest names by source, and its stop pairs.
+SOURCE_DAY = _schema(
+    "operatingDate date, dataSource string, dataSourceName string, arrivals bigint"
+)
+LINE_DAY = _schema(
+    "operatingDate date, lineRef string, dataSource string, from_stop string, to_stop string"
+)
 ARRIVALS_STATS = _schema("min_date date, max_date date, total_arrivals bigint")
 
 #: Partition column of each partitioned table.
@@ -72,6 +79,8 @@ PARTITIONED_BY = {
     "route_name": "operatingDate",
     "legs": "operatingDate",
     "leg_stats": "month",
+    "source_day": "operatingDate",
+    "line_day": "operatingDate",
 }
 
 TABLES = {
@@ -85,8 +94,9 @@ TABLES = {
     "datasource_line": DATASOURCE_LINE,
     "stop_line": STOP_LINE,
     "arrivals_stats": ARRIVALS_STATS,
+    "source_day": SOURCE_DAY,
+    "line_day": LINE_DAY,
 }
 
 JOURNEY = ["serviceJourneyId", "operatingDate"]
-DATED_JOURNEY = ["datedServiceJourneyId"]
 FLAGS = ["extraCall", "estimated", "journeyCancellation", "stopCancellation"]

@@ -38,23 +38,70 @@ def read_if_present(spark: SparkSession, root: str, name: str) -> DataFrame | No
         raise
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, which reaches every store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def partition_values(spark: SparkSession, root: str, name: str, by: str) -> list[date]:
+    """Partitions of a table by the names of its folders: one listing, no file is opened."""
+    system, where = _folder(spark, table_path(root, name))
+    if not system.exists(where):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(where)]
+    return sorted(
+        date.fromisoformat(n.partition("=")[2])
+        for n in names
+        if n.startswith(f"{by}=") and not n.endswith("__HIVE_DEFAULT_PARTITION__")
+    )
+
+
+def drop_partitions(spark: SparkSession, root: str, name: str, values: Iterable[date]) -> None:
+    """Remove whole partitions, those that are there."""
+    for value in values:
+        path = f"{table_path(root, name)}/{PARTITIONED_BY[name]}={value.isoformat()}"
+        system, where = _folder(spark, path)
+        system.delete(where, True)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty folder as a note; making it is one step of the file system."""
+    system, where = _folder(spark, path)
+    system.mkdirs(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, where = _folder(spark, path)
+    system.delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    system, where = _folder(spark, path)
+    if not system.exists(where):
+        return []
+    return sorted(status.getPath().getName() for status in system.listStatus(where))
+
+
 def daily_partitions(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Distinct days of a table (column ``day``); none if the table does not exist."""
-    table = read_if_present(spark, root, name)
-    if table is None:
-        return spark.createDataFrame([], "day date")
-    return table.select(F.col("operatingDate").alias("day")).distinct()
+    """The days of a table (column ``day``); none if the table does not exist."""
+    return date_frame(spark, partition_values(spark, root, name, "operatingDate"))
+
+
+def months_of(days: Iterable[date]) -> list[date]:
+    return sorted({d.replace(day=1) for d in days})
 
 
 def monthly_partitions(
     spark: SparkSession, root: str, name: str, truncate: bool = True
 ) -> DataFrame:
-    """Distinct months of a table; ``truncate`` takes them from its days."""
-    table = read_if_present(spark, root, name)
-    if table is None:
-        return spark.createDataFrame([], "month date")
-    month = F.trunc("operatingDate", "MM") if truncate else F.col("month").cast("date")
-    return table.select(month.alias("month")).distinct()
+    """The months of a table; ``truncate`` takes them from its days."""
+    if truncate:
+        months = months_of(partition_values(spark, root, name, "operatingDate"))
+    else:
+        months = partition_values(spark, root, name, "month")
+    return date_frame(spark, months, "month")
 
 
 def write_partitions(
@@ -99,8 +146,9 @@ def write_clustered(df: DataFrame, path: str, cols: Sequence[str], spread: Seque
     ).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
-    df.write.mode("overwrite").csv(path, header=True, sep=sep)
+def write_csv(df: DataFrame, path: str, sep: str = ";", tz: str = "UTC") -> None:
+    """Timestamps are printed in ``tz``, whatever the session's zone."""
+    df.write.mode("overwrite").option("timeZone", tz).csv(path, header=True, sep=sep)
 
 
 def ensure_table(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
@@ -131,11 +179,16 @@ def append_by_name(df: DataFrame, spark: SparkSession, path: str) -> None:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """Columns of a table with their types and whether they may be NULL."""
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(
-        rows, "position int, col_name string, data_type string, nullable boolean"
-    )
+    """Columns of a table with their types and how many rows hold a value, in one scan."""
+    counts = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(df.columns)])
+    rows = [
+        F.struct(
+            F.lit(i).alias("position"), F.lit(f.name).alias("col_name"),
+            F.lit(f.dataType.simpleString()).alias("data_type"), F.col(f"n{i}").alias("filled"),
+        )
+        for i, f in enumerate(df.schema)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def dates(frame: DataFrame) -> list[date]:

@@ -28,7 +28,7 @@ def fill(tables, root, start, end):
 
 def snapshot(spark, root):
     out = {n: values(io.read_table(spark, root, n), *TABLES[n].fieldNames()) for n in OUTPUTS}
-    served = f"{root}/{etl.SERVING}"
+    served = etl.serving_root(spark, root)
     for n in ("leg_stats", "datasources", "arrivals_stats"):
         out[f"serving/{n}"] = values(io.read_table(spark, served, n), *TABLES[n].fieldNames())
     return out
@@ -57,8 +57,13 @@ def test_day_by_day_equals_one_run(spark, tables, at_once, tmp_path):
 
 def test_running_again_changes_nothing(spark, at_once):
     root, before = at_once
-    done = etl.run(spark, root)
-    assert done == {"days": [], "months": [date(2024, 2, 1)]}  # the newest month again
+    versions = etl.serving_versions(spark, root)
+    assert etl.run(spark, root) == {"days": [], "months": []}
+    assert etl.serving_versions(spark, root) == versions  # nothing was published again
+    assert snapshot(spark, root) == before
+    io.mark(spark, f"{root}/{etl.UNPUBLISHED}")  # as if a run had broken off before publishing
+    assert etl.run(spark, root) == {"days": [], "months": []}
+    assert etl.serving_root(spark, root) > versions[-1]
     assert snapshot(spark, root) == before
 
 
@@ -78,6 +83,41 @@ def test_plans(spark, at_once):
     assert len(io.dates(etl.plan_months(spark, root, invalidate=True))) == 2
 
 
+def test_days_without_rows_leave_nothing_behind(spark, tables, tmp_path):
+    root, end = str(tmp_path), date(2024, 1, 31)
+    fill(tables, root, START, end)
+    etl.run(spark, root)
+    assert io.partition_values(spark, root, "legs", "operatingDate") == [START, date(2024, 1, 30)]
+    cancelled = io.read_days(spark, root, "arrivals", [START]).withColumn("journeyCancellation", F.lit(True))
+    rows = spark.createDataFrame(cancelled.collect(), cancelled.schema)
+    io.write_partitions(rows, f"{root}/arrivals", "operatingDate")
+    done = etl.run(spark, root, invalidate=True)
+    assert done["days"] == [START, date(2024, 1, 30)] and done["months"] == [date(2024, 1, 1)]
+    for name in ("legs", "line_day", "route_name"):
+        assert io.partition_values(spark, root, name, "operatingDate") == [date(2024, 1, 30)]
+
+
+def test_zoneless_times_do_not_depend_on_the_session(spark):
+    source = spark.sql(
+        "select timestamp_ntz'2024-01-03 08:00:00' recordedAtTime, timestamp_ntz'2024-07-03 08:00:00.5' arrivalTime"
+    )
+    names = [f.name for f in TABLES["arrivals"] if f.name not in source.columns]
+    source = source.select("*", *[F.lit(None).alias(n) for n in names])
+    got = {}
+    for zone in ("UTC", "Europe/Oslo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            for tz in ("UTC", "Europe/Oslo"):
+                row = ingest.conform(source, "arrivals", tz).select(
+                    F.unix_micros("recordedAtTime").alias("r"), F.unix_micros("arrivalTime").alias("a")
+                ).first()
+                got[zone, tz] = (row.r, row.a)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got["UTC", "UTC"] == got["Europe/Oslo", "UTC"] == (1704268800000000, 1719993600500000)
+    assert got["UTC", "Europe/Oslo"] == got["Europe/Oslo", "Europe/Oslo"] == (1704265200000000, 1719986400500000)
+
+
 def test_missing_table_has_no_partitions(spark, tmp_path):
     assert io.dates(io.daily_partitions(spark, str(tmp_path), "legs")) == []
     assert io.dates(io.monthly_partitions(spark, str(tmp_path), "leg_stats", truncate=False)) == []

@@ -39,7 +39,7 @@ numbered AS (
     CASE WHEN nr > 1 THEN make_timestamp((aim + late) * 1000000) END AS arrivalTime,
     CASE WHEN nr < cnt THEN make_timestamp((aim + 30) * 1000000) END AS aimedDepartureTime,
     CASE WHEN nr < cnt THEN make_timestamp((aim + late + 30) * 1000000) END AS departureTime,
-    src AS dataSource, 'Operator ' || src AS dataSourceName,
+    src AS dataSource, 'Operator ' || src AS dataSourceName, src AS operatorRef, false AS extraJourney,
     od || ':' || src || ':ServiceJourney:' || j AS datedServiceJourneyId
   FROM clocked
 )"""

@@ -69,13 +69,13 @@ add("arrivals_projection", "arrivals",
     "lineRef:s directionRef:s operatingDate:d serviceJourneyId:s stopPointRef:s sequenceNr:i "
     "extraCall:b stopCancellation:b journeyCancellation:b estimated:b aimedArrivalTime:t? "
     "arrivalTime:t? aimedDepartureTime:t? departureTime:t? recordedAtTime:t originName:s? "
-    "vehicleMode:s? stopPointName:s datedServiceJourneyId:s",
+    "destinationName:s? operatorRef:s extraJourney:b dataSource:s dataSourceName:s vehicleMode:s? stopPointName:s datedServiceJourneyId:s",
     lambda p: p.arrivals, "SELECT * FROM arrivals")
 
 add("clean_arrivals", "clean",
     "lineRef:s directionRef:s operatingDate:d serviceJourneyId:s stop:s lat:c lon:c sequenceNr:i "
     "originName:s? destinationName:s? aimedArrivalTime:t? arrivalTime:t? aimedDepartureTime:t? "
-    "departureTime:t? dataSource:s dataSourceName:s quay_id:s",
+    "departureTime:t? dataSource:s dataSourceName:s quay_id:s operatorRef:s extraJourney:b",
     lambda p: p.clean, "SELECT * FROM clean")
 
 _NAMES = "operatingDate:d dataSource:s lineRef:s directionRef:s destination:s origin:s"
@@ -165,7 +165,7 @@ add("hot_spots", "stats", _CARD, lambda p: serving.hot_spots(p.leg_stats, FEB, 7
 
 _CHANGE = (
     "name:s net_change_seconds:i net_change_proportion:i net_change_pct:i from_stop:s to_stop:s "
-    "air_distance_meters:i from_lat:c to_lon:c lat:c lon:c cur_hourly_quartile:i "
+    "air_distance_meters:i from_lat:c from_lon:c to_lat:c to_lon:c lat:c lon:c cur_hourly_quartile:i "
     "prev_hourly_quartile:i cur_hourly_duration:i prev_hourly_duration:i cur_hourly_delay:i "
     "prev_hourly_delay:i cur_hourly_deviation:i prev_hourly_deviation:i "
     "cur_mean_hourly_duration:i prev_mean_hourly_duration:i cur_month_count:i "
@@ -181,7 +181,7 @@ _SIDE = ", ".join(
 _CHANGE_SQL = (
     f"SELECT {_SIDE}, c.monthly_count AS cur_month_count, p.monthly_count AS prev_monthly_count, "
     "c.from_stop || ' to ' || c.to_stop AS name, c.from_stop, c.to_stop, c.dataSource AS data_source, "
-    "c.air_distance_meters, c.from_lat, c.to_lon, 0.985 * c.from_lat + 0.015 * c.to_lat AS lat, "
+    "c.air_distance_meters, c.from_lat, c.from_lon, c.to_lat, c.to_lon, 0.985 * c.from_lat + 0.015 * c.to_lat AS lat, "
     "0.985 * c.from_lon + 0.015 * c.to_lon AS lon, "
     "c.mean_hourly_duration - p.mean_hourly_duration AS net_change_seconds, "
     "CAST(100.0::DOUBLE * net_change_seconds / (c.mean_hourly_duration + p.mean_hourly_duration) AS INT) "
@@ -397,8 +397,9 @@ add("zero_distance_pairs", "study", "previous_stop:s stop:s air_distance_km:f",
 add("self_leg_count", "study", "count:i", lambda p: leg_study.self_leg_count(p.study),
     "SELECT count(*) AS count FROM study WHERE stop = previous_stop")
 add("legs_with_distance", "study",
-    "lineRef:s previous_stop:s stop:s datedServiceJourneyId:s time:t actual_duration:f "
-    "air_distance_km:f speed_kmh_upper_bound:f?",
+    "lineRef:s previous_stop:s stop:s datedServiceJourneyId:s time:t planned_time:t actual_duration:f "
+    "previous_stop_name:s stop_name:s planned_duration:f deviation:f delay:f prev_lat:c prev_lon:c "
+    "now_lat:c now_lon:c air_distance_km:f speed_kmh_upper_bound:f?",
     lambda p: leg_study.legs_with_distance(p.study, p.distances, FEB),
     "SELECT * FROM far_study WHERE time >= DATE '2024-02-01'")
 add("fastest_legs", "study",

@@ -9,9 +9,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import label_number, line_number
-from ..operators import delays, directions, journeys, leg_stats as ls, leg_study, serving
+from ..operators import delays, directions, journeys, leg_stats as ls, leg_study, legs as leg_ops, serving
+from ..operators.skew import hot_groups
+from ..operators.visits import clean_arrivals
 from ..plans import etl
-from ..schemas import LEG_STATS
+from ..schemas import JOURNEY, LEG_STATS
 from ..sources import ingest, tables
 from ..sources.shared import shared_folder
 from ..sources.testdata import Projected
@@ -783,3 +785,25 @@ def _zoneless(p: Projected) -> DataFrame:
 add("ingest_zoneless", "arrivals",
     "operatingDate:d serviceJourneyId:s sequenceNr:i recordedAtTime:t arrivalTime:t? aimedArrivalTime:t? "
     "departureTime:t? aimedDepartureTime:t?", _zoneless, "SELECT * FROM arrivals")
+
+
+# ---- the same with a low threshold, so that many journeys are split as hot groups -------
+
+SPLIT_FROM = 7  # rows
+
+
+def _split(p: Projected):
+    return hot_groups(p.arrivals, JOURNEY, min_rows=SPLIT_FROM)
+
+
+def _clean_split(p: Projected) -> DataFrame:
+    return clean_arrivals(p.arrivals, p.stopdata, hot=_split(p), chunk_rows=2000)
+
+
+add("clean_arrivals_split", "clean", QUERIES["clean_arrivals"].contract, _clean_split, "SELECT * FROM clean")
+add("legs_split", "legs", QUERIES["legs"].contract,
+    lambda p: leg_ops.legs(p.clean, p.canonical, hot=_split(p), chunk_rows=2000), "SELECT * FROM legs")
+add("lead_gap_stats_split", "arrivals", QUERIES["lead_gap_stats"].contract,
+    lambda p: delays.lead_gap_stats(
+        p.arrivals, hot_groups(p.arrivals, ["datedServiceJourneyId"], min_rows=SPLIT_FROM)),
+    QUERIES["lead_gap_stats"].body)

@@ -33,10 +33,10 @@ from .bpe import LATIN_END
 CAPACITY = 4096
 END_TOKEN = 2
 MAX_OPEN = 1024
-#: Pieces of text that a task remembers, and words that a Python worker does, in each of two
-#: generations (some 200 bytes each).
-MEMO = 300_000
-WORDS = 250_000
+#: Pieces of text and words that a Python worker remembers, in each of two generations (some
+#: 200 bytes each).
+MEMO = 400_000
+WORDS = 350_000
 #: Sequence ids are partition << SEQUENCE_BITS | counter.
 SEQUENCE_BITS = 32
 
@@ -83,13 +83,11 @@ class CachedTokenizer:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._find = regex.compile(pattern, regex.V1).findall
         self._split = re.compile(r"[ \t\n\r\x0b\x0c]+").split
-        self._pieces, self._words = _Memo(MEMO), _Memo(WORDS)
+        self.forget()
 
-    def forget(self, words: bool) -> None:
+    def forget(self) -> None:
         """Give memory back; an idle Python worker stays for a while."""
-        self._pieces = _Memo(MEMO)
-        if words:
-            self._words = _Memo(WORDS)
+        self._pieces, self._words = _Memo(MEMO), _Memo(WORDS)
 
     def _words_of(self, piece: str) -> list[str]:
         if "<|" in piece:
@@ -222,11 +220,11 @@ SLICE = 256  # documents that are tokenised together
 def pack_documents(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
     capacity: int = CAPACITY, end_token: int = END_TOKEN, max_open: int = MAX_OPEN,
-    keep_words: bool = True,
+    keep_memory: bool = True,
 ) -> DataFrame:
     """One row per piece: id_col, start, length, ids (binary, little-endian unsigned 32-bit),
-    doc_tokens, sequence_id, offset, sequence_tokens. ``keep_words=False`` lets workers
-    forget the words they know after each task, for jobs that are short of memory."""
+    doc_tokens, sequence_id, offset, sequence_tokens. ``keep_memory=False`` lets
+    workers forget pieces and words after each task, for jobs that are short of memory."""
     if capacity < 2:
         raise ValueError("capacity must be at least 2")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -269,7 +267,8 @@ def pack_documents(
                     ids = np.frombuffer(data + end, "<u4")
                     packer.add((doc, len(ids)), ids)
                 yield finished()
-        tokenizer.forget(words=not keep_words)
+        if not keep_memory:
+            tokenizer.forget()
         if id_type is not None:
             packer.finish()
             yield finished()

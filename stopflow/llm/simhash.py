@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -279,11 +279,18 @@ def near_duplicates(
     shingle: int = SHINGLE, max_bits: int = MAX_BITS,
 ) -> DataFrame:
     """One row per document: id, fp (signed), component_id, digest, row, keep (one row of each component)."""
-    rows = fingerprints(docs, id_col, text_col, shingle)
+    return labelled(
+        fingerprints(docs, id_col, text_col, shingle), lambda distinct: near_pairs(distinct, max_bits)
+    )
+
+
+def labelled(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows(id, digest, fp, row)`` with component_id and keep, by the links(a, b) that ``links`` finds
+    among the distinct ``fp``."""
     distinct = written(
         rows.groupBy("fp").agg(F.min("id").alias("least"), F.max("row").alias("last")), "distinct"
     )
-    roots = components(near_pairs(distinct, max_bits))
+    roots = components(links(distinct))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "least", "last", F.coalesce("root", "fp").alias("root")
     )

@@ -7,10 +7,12 @@ chi-squared over equal bins, runs above and below the middle, and serial correla
 smallest of the three p-values, times three, is the candidate's p-value.
 
 Short strings of ordinary text pass such tests more easily than long ones, so the level is set for each
-(encoding, length class) from all documents: p-values of random strings are uniform, so twice
-the number above one half estimates how many candidates are random, and a level ``t`` lets through
-``n(p > t) - random (1 - t)`` others. The smallest level (LEAST at least) is taken at which
-these are at most RATE of what passes. The counts are a histogram of fixed size.
+(encoding, length class) from all documents: p-values of random strings are uniform, so of those that pass a
+level a known share lies in the upper half of what is left, while other strings crowd just above the
+level. A level is refused where so few lie in that half that, with at most RATE of others among
+them, the chance is below DOUBT. The smallest level not refused (LEAST at least) is taken. A lone
+candidate refuses nothing, so a rare key is found by itself, whatever other documents hold; and what
+crowds together is refused above one half as well as below. The counts are a histogram of fixed size.
 
 Defined results: a NULL text is empty; rows are judged one by one, so NULL or repeated ids
 need no rule; an empty table gives an empty result.
@@ -52,6 +54,8 @@ ALPHABETS = {
 #: Accepted share of non-random strings among those found, and the least level of the tests.
 RATE, LEAST = 0.05, 0.01
 BINS = 100
+DOUBT = 0.01
+HIGHEST = 90  # levels end here; the bins above are too few to be halved
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -155,6 +159,13 @@ def p_value_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _at_most(k: int, n: int, p: float) -> float:
+    """The chance of at most ``k`` of ``n``; beyond a thousand by the normal curve."""
+    if n > 1000:
+        return math.erfc(-(k + 0.5 - n * p) / math.sqrt(2 * n * p * (1 - p))) / 2
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
 def levels(counts: list[tuple[str, int, int, int]], rate: float = RATE, least: float = LEAST) -> dict:
     """(encoding, length class) -> the bin from which candidates count as random."""
     strata: dict[tuple[str, int], np.ndarray] = {}
@@ -163,13 +174,14 @@ def levels(counts: list[tuple[str, int, int, int]], rate: float = RATE, least: f
     out = {}
     for key, n in strata.items():
         passing = n[::-1].cumsum()[::-1]
-        random = min(2 * passing[BINS // 2], passing[0])
-        share = 1 - np.arange(BINS) / BINS
-        others = np.maximum(passing - random * share, 0)
-        good = np.flatnonzero((passing > 0) & (others <= rate * passing))
-        good = good[good >= round(least * BINS)]
-        if len(good):
-            out[key] = int(good[0])
+        for k in range(max(1, round(least * BINS)), HIGHEST + 1):
+            if not passing[k]:
+                break
+            half = k + (BINS - k) // 2
+            expected = (1 - rate) * (BINS - half) / (BINS - k)
+            if _at_most(int(passing[half]), int(passing[k]), expected) >= DOUBT:
+                out[key] = k
+                break
     return out
 
 

@@ -8,9 +8,10 @@ in how many pages each of its texts stands. With m pages of a node,
 * content importance is 1 minus the mean entropy of its texts over the pages, ``log_m k`` for a text on k pages,
 
 and the node's importance is a weighted sum of both. Nodes of low importance show the same in the same way
-on page after page; their text is removed from every page of the host. Element names and classes that name their
-role (menu, footer, advert, ..) are low by definition, on hosts of any size. Of what
-remains, the text inside ``article`` (else ``main``, else the body) is the main text.
+on page after page; their text is removed from every page of the host. Elements whose name or class names their
+role (menu, footer, advert, ..) are low beforehand, on hosts of any size, but not one that holds the article or
+main element or most of the page's words; these, and parts of an article with an ambiguous class (notice,
+related, ..), are left to the tree. Of what remains, the text inside ``article`` (else ``main``, else the body) is the main text.
 
 The tree is a table of hashes, summed map-side, so a host with a third of all pages is no larger
 in any task than another. Low nodes repeat on many pages and are therefore few; they are broadcast
@@ -59,6 +60,13 @@ ROLE_WORDS = frozenset(
     "replies share sharing social related recommended newsletter subscribe subscription widget "
     "widgets toolbar pagination pager login signup search skip".split()
 )
+#: Within an article or main element these may as well name its subject; the tree decides.
+AMBIGUOUS_WORDS = frozenset(
+    "banner sponsor sponsored promo promotion notice sidebar sidenav menu navigation footer masthead respond "
+    "social related recommended subscription widget widgets search skip".split()
+)
+#: Elements that hold other elements: low beforehand, but not where they hold the article.
+HOLDERS = frozenset("nav footer aside form dialog menu header".split())
 ARTICLE_WORDS = frozenset("ad ads advert advertisement sponsored comment comments reply related".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt "
@@ -99,14 +107,18 @@ def _node(parent: int, key: str) -> int:
 class Page:
     """Blocks of a page in order: (node, region, text), where region is 2 inside ``article``, 1
     inside ``main``, else 0; and the child sequence of every node. Elements of a naming role
-    are skipped with all they hold."""
+    are skipped with all they hold, unless they hold the article or most of the words."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[int, int, str]] = []
         self.styles: dict[int, list[str]] = {}
-        # Open elements: (name, node, region, skipped).
-        self._stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
-        self._text: list[str] = []
+        # Elements of a role: the one around it, and whether its words count; 0 is none.
+        self._roles: list[tuple[int, bool]] = [(0, False)]
+        self._found: list[tuple[int, int, list[tuple[str, int]]]] = []  # blocks as pieces of (text, role)
+        self._mains: list[int] = []  # the innermost role around each article or main element
+        # Open elements: (name, node, region, skipped, innermost role).
+        self._stack: list[tuple[str, int, int, bool, int]] = [("", 0, 0, False, 0)]
+        self._text: list[tuple[str, int]] = []
         at, end = 0, len(source)
         while at < end:
             m = TOKEN.search(source, at)
@@ -127,23 +139,54 @@ class Page:
                 close = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(source, at)
                 at = close.start() if close else end
         self._flush()
+        kept = self._kept_roles()
+        for node, region, pieces in self._found:
+            text = " ".join("".join(t for t, role in pieces if role in kept).split())
+            if text:
+                self.blocks.append((node, region, text))
+
+    def _around(self, role: int) -> Iterator[int]:
+        while role:
+            yield role
+            role = self._roles[role][0]
+
+    def _kept_roles(self) -> set[int]:
+        """Roles of which nothing around is skipped: 0, and those that hold the article (of several, those
+        within the fewest roles) or most of the words."""
+        if len(self._roles) == 1:
+            return {0}
+        depth = {r: sum(1 for _ in self._around(r)) for r in set(self._mains)}
+        least = min(depth.values(), default=0)
+        spared = {x for r, d in depth.items() if d == least for x in self._around(r)}
+        words, total = Counter(), 0
+        for text, role in (piece for _, _, pieces in self._found for piece in pieces):
+            n = len(text.split())
+            around = list(self._around(role))
+            if all(self._roles[r][1] for r in around):
+                total += n
+            for r in around:
+                words[r] += n
+        spared |= {r for r, n in words.items() if self._roles[r][1] and 2 * n > total}
+        kept = {0}
+        for r in range(1, len(self._roles)):  # the role around comes first
+            if r in spared and self._roles[r][0] in kept:
+                kept.add(r)
+        return kept
 
     def _read(self, text: str) -> None:
         if text and not self._stack[-1][3]:
-            self._text.append(text)
+            self._text.append((text, self._stack[-1][4]))
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join("".join(
-                html.unescape(t) if "&" in t else t for t in self._text
-            ).split())
+            pieces = [(html.unescape(t) if "&" in t else t, role) for t, role in self._text]
             self._text = []
-            if text:
-                _, node, region, _ = self._block
-                self.blocks.append((node, region, text))
+            if any(not t.isspace() for t, _ in pieces):
+                _, node, region, _, _ = self._block
+                self._found.append((node, region, pieces))
 
     @property
-    def _block(self) -> tuple[str, int, int, bool]:
+    def _block(self) -> tuple[str, int, int, bool, int]:
         return next((e for e in reversed(self._stack) if e[0] in BLOCK), self._stack[0])
 
     def _open(self, name: str, attributes: str) -> None:
@@ -164,7 +207,7 @@ class Page:
             self._read(" ")
         if name in VOID:
             return
-        _, parent, region, skipped = stack[-1]
+        _, parent, region, skipped, role = stack[-1]
         found = dict(
             (k.lower(), v.strip("\"'").lower()) for k, v in ATTRIBUTE.findall(attributes)
         ) if attributes else {}
@@ -181,7 +224,15 @@ class Page:
             region = 2
         elif name == "main" or found.get("role") == "main":
             region = max(region, 1)
-        stack.append((name, node, region, skipped or self._has_role(name, found, region)))
+        if not skipped and self._has_role(name, found, region):
+            if name in ROLE_TAGS and name not in HOLDERS:
+                skipped = True
+            else:
+                self._roles.append((role, name not in HOLDERS or name == "form"))
+                role = len(self._roles) - 1
+        if not skipped and (name in ("article", "main") or found.get("role") == "main"):
+            self._mains.append(role)
+        stack.append((name, node, region, skipped, role))
 
     @staticmethod
     def _has_role(name: str, found: dict[str, str], region: int) -> bool:
@@ -192,6 +243,8 @@ class Page:
         if found.get("role") in ROLE_ATTRIBUTES:
             return True
         words = set(WORD.findall(found.get("class", "") + " " + found.get("id", "")))
+        if name != "article" and region:
+            return not words.isdisjoint(ROLE_WORDS - AMBIGUOUS_WORDS)
         return not words.isdisjoint(ARTICLE_WORDS if name == "article" else ROLE_WORDS)
 
     def _close(self, name: str) -> None:

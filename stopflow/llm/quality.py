@@ -27,6 +27,7 @@ STOP_WORDS = (
     "de la le les et en un une que qui dans est pour par sur pas au du avec "
     "el los las y se del por con no para es al una"
 ).split()
+STOP_WORD_LANGS = ("en", "de", "fr", "es")
 
 
 @dataclass(frozen=True)
@@ -160,10 +161,16 @@ def judged(
     )
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that pass every rule, with their own columns."""
+def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents that pass every rule, with their own columns. Where ``lang_col`` names no language
+    with stop words here, the other rules decide."""
     own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), f"`{text_col}`")
     # The row number keeps the optimizer from pushing the filter below the measures, which would
     # write them out once for each of their uses.
     marked = judged(own, text_col).withColumn("_n", F.monotonically_increasing_id())
-    return marked.filter(F.col("kept") & (F.col("_n") >= 0)).select("_row.*")
+    kept = F.col("kept")
+    if lang_col in docs.columns:
+        main = F.lower(F.regexp_extract(F.col(f"_row.`{lang_col}`").cast("string"), "^\\s*([A-Za-z]*)", 1))
+        foreign = F.coalesce(~main.isin(*STOP_WORD_LANGS), F.lit(True))
+        kept = kept | (foreign & (F.array_except("failed_rules", F.array(F.lit("few_stop_words"))) == F.array().cast("array<string>")))
+    return marked.filter(kept & (F.col("_n") >= 0)).select("_row.*")

@@ -150,9 +150,13 @@ def judged(
             out = out | rule.fails()
         return out
 
+    # The measures go through a generator of one row, which stops the optimizer from writing them out
+    # once more in every filter on the result.
+    once = F.inline(F.array(F.struct(*MEASURES, "_repeat_excess")))
+    held = measured(docs, text_col).select("_own", once)
     failed = F.array_compact(F.array(*[F.when(r.fails(), F.lit(r.name)) for r in (*base, *rules)]))
     added = (*MEASURES, "base_failed", "kept", "failed_rules")
-    return measured(docs, text_col).select(
+    return held.select(
         *[F.col(f"_own.`{c}`") for c in docs.columns if c not in added],
         *MEASURES,
         any_of(base).alias("base_failed"),
@@ -165,12 +169,10 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     """The documents that pass every rule, with their own columns. Where ``lang_col`` names no language
     with stop words here, the other rules decide."""
     own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), f"`{text_col}`")
-    # The row number keeps the optimizer from pushing the filter below the measures, which would
-    # write them out once for each of their uses.
-    marked = judged(own, text_col).withColumn("_n", F.monotonically_increasing_id())
+    marked = judged(own, text_col)
     kept = F.col("kept")
     if lang_col in docs.columns:
         main = F.lower(F.regexp_extract(F.col(f"_row.`{lang_col}`").cast("string"), "^\\s*([A-Za-z]*)", 1))
         foreign = F.coalesce(~main.isin(*STOP_WORD_LANGS), F.lit(True))
         kept = kept | (foreign & (F.array_except("failed_rules", F.array(F.lit("few_stop_words"))) == F.array().cast("array<string>")))
-    return marked.filter(kept & (F.col("_n") >= 0)).select("_row.*")
+    return marked.filter(kept).select("_row.*")

@@ -131,6 +131,18 @@ def test_quality_measures(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
 
 
+def test_filters_do_not_repeat_the_measures(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+
+    def sorts(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("array_sort")
+
+    plain = sorts(quality.judged(docs))
+    assert plain == sorts(quality.judged(docs).filter("not base_failed"))
+    assert plain == sorts(quality.judged(docs).filter("kept and n_words > 10 and symbol_ratio < 0.05"))
+    assert plain == sorts(quality.quality_filter(docs))
+
+
 def test_quality_keeps_clean_labelled_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1")

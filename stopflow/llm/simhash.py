@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,6 @@ SEED = 42
 BITS = 64
 FOLD = 14  # bits of a part's value that the histogram tells apart
 PROBE_COST = 2.0  # a probe costs as much as so many candidates
-RANDOM_CANDIDATES = 4  # chance candidates for each fingerprint that a choice of m may expect
 BLOCK = 1 << 16  # shingles hashed at a time
 
 
@@ -209,25 +208,14 @@ class Partitioning:
 KEY_SHIFT = 58  # a key is part << KEY_SHIFT | value
 
 
-def choose_m(n: int, tau: int) -> int:
-    """The most parts, three at most, for which chance meetings stay few: with thresholds spread
-    evenly, a fingerprint probes so many values of 64 / m bits each."""
-    for m in range(min(3, tau + 1), 2, -1):
-        width, budget = BITS // m, tau - m + 1
-        probes = 0
-        for k in range(m):
-            t = budget // m + (k < budget % m)
-            probes += sum(math.comb(width, j) for j in range(t + 1))
-        if n * probes / 2.0 ** (width + 1) <= RANDOM_CANDIDATES:
-            return m
-    return 2
+#: Parts of the bits, at every size: with two, chance meetings stay few up to some 10^9 fingerprints.
+PARTS = 2
 
 
-def near_pairs(distinct: DataFrame, tau: int = MAX_BITS) -> DataFrame:
+def near_pairs(distinct: DataFrame, tau: int = MAX_BITS, m: int = PARTS) -> DataFrame:
     """(a, b) of different fingerprints in ``distinct(fp)`` that differ in at most ``tau`` bits; a
     pair may come more than once."""
     n, together = bit_moments(distinct)
-    m = choose_m(n, tau)
     plain = Partitioning(group_bits(n, together, m), tau)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,18 +267,11 @@ def near_duplicates(
     shingle: int = SHINGLE, max_bits: int = MAX_BITS,
 ) -> DataFrame:
     """One row per document: id, fp (signed), component_id, digest, row, keep (one row of each component)."""
-    return labelled(
-        fingerprints(docs, id_col, text_col, shingle), lambda distinct: near_pairs(distinct, max_bits)
-    )
-
-
-def labelled(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``rows(id, digest, fp, row)`` with component_id and keep, by the links(a, b) that ``links`` finds
-    among the distinct ``fp``."""
+    rows = fingerprints(docs, id_col, text_col, shingle)
     distinct = written(
         rows.groupBy("fp").agg(F.min("id").alias("least"), F.max("row").alias("last")), "distinct"
     )
-    roots = components(links(distinct))
+    roots = components(near_pairs(distinct, max_bits))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "least", "last", F.coalesce("root", "fp").alias("root")
     )

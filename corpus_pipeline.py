@@ -6,8 +6,8 @@ reads it, in the shared folder of the cluster. All but the last return the colum
 
 1. quality rules: rejected documents go;
 2. exact dedup: of equal texts the document with the largest id stays;
-3. near-dedup: of each group of near copies (a Jaccard similarity of 0.8 or more on five-word shingles, and
-   what they reach) the document with the smallest id stays;
+3. SimHash near-dedup: of each group of near copies (three-word shingles, fingerprints that differ in
+   at most three bits, and what they reach) the document with the smallest id stays;
 4. secret scans: spans are replaced by a mark, every document stays;
 5. packing into sequences of 4096 tokens.
 """
@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stopflow.llm import exact_dedup, packing, quality, secret_scan, similar
+from stopflow.llm import exact_dedup, packing, quality, secret_scan, simhash
 from stopflow.llm.catalog import vocabulary
 from stopflow.llm.common import table, written
 
@@ -32,7 +32,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.near_dedup(docs)
+    return simhash.near_dedup(docs, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_copies),
-    ("near-dedup", near_copies),
+    ("SimHash near-dedup", near_copies),
     ("secret scans", secrets),
     ("packing", packed),
 ]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, hard_negatives, html_text, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, url_filter
+from . import bpe, exact_dedup, hard_negatives, html_text, infill, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, token_files, url_filter
 from .common import table, text_of
 
 
@@ -243,3 +243,39 @@ negatives AS (SELECT p.anchor_id, p.positive_id, n.id AS negative_id, p.positive
     AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM negatives WHERE rank <= 3""")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary()).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+OPERATORS["op12_token_files"] = Operator(op12)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+OPERATORS["op13_fill_in_middle"] = Operator(op13, r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents),
+drawn AS (SELECT doc_id, text, units, len(units) AS n,
+    CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS one, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS two,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+cut AS (SELECT doc_id, text, n, form, array_to_string(units[1 : least(one, two)], '') AS p,
+    array_to_string(units[least(one, two) + 1 : greatest(one, two)], '') AS m,
+    array_to_string(units[greatest(one, two) + 1 :], '') AS s FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut""")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import local_hour, local_weekday, month_start, quantile_disc, round_to
+from ..functions import local_hour, local_weekday, month_start, round_to
 from ..schemas import LEG_STATS
+from .histograms import disc, mean, middle, rolled_up, rows_behind, value_counts, with_shares
 
 PAIR = ["dataSource", "from_stop", "to_stop"]
+MEASURES = ["actual_duration", "delay", "deviation"]
+PLACES = ["air_distance_meters", "from_lat", "from_lon", "to_lat", "to_lon"]
+FIGURES = ["quartile", "duration", "delay", "deviation", "mean", "count"]
 
 
 def weekdays(df: DataFrame, when, tz: str | None = None) -> DataFrame:
@@ -29,38 +33,42 @@ def leg_stats(
     """Hourly figures per stop pair next to those of the whole month, weekdays only.
 
     Kept are hours with more than ``min_hourly_count`` legs and pairs more than
-    ``min_distance`` metres apart. Hour and weekday are taken in ``tz``.
+    ``min_distance`` metres apart. Hour and weekday are taken in ``tz``. The legs are read and counted once; both
+    grains come from the counts, which are partitioned by pair and month from then on.
     """
     start = F.col("start_time")
     used = weekdays(legs, start, tz).select(
         *PAIR, month_start(F.col("operatingDate")).alias("month"),
-        local_hour(start, tz).alias("hour"), "actual_duration", "delay", "deviation",
-        "air_distance_meters", "from_lat", "from_lon", "to_lat", "to_lon",
+        local_hour(start, tz).alias("hour"), *MEASURES, *PLACES,
     )
     if month is not None:
         used = used.where(F.col("month") == F.lit(month.replace(day=1)))
+    least = [F.min(c).alias(c) for c in PLACES]
+    keys = [*PAIR, "month", "hour"]
+    counts = value_counts(used, keys, MEASURES, least).repartition(*PAIR, "month")
+    shares = with_shares(rolled_up(counts, keys, "hour", least), [*keys, "coarse"])
     short = lambda x, name: round_to(x, "smallint").alias(name)
-
-    def figures(grain: str) -> list:
-        return [
-            quantile_disc("actual_duration", 0.75, "int").alias(f"{grain}_quartile"),
-            short(F.median("actual_duration"), f"{grain}_duration"),
-            short(F.median("delay"), f"{grain}_delay"),
-            short(F.median("deviation"), f"{grain}_deviation"),
-            short(F.avg("actual_duration"), f"mean_{grain}_duration"),
-            F.count(F.lit(1)).alias(f"{grain}_count"),
-        ]
-
-    places = ["air_distance_meters", "from_lat", "from_lon", "to_lat", "to_lon"]
-    hourly = (
-        used.groupBy(*PAIR, "month", "hour").agg(*figures("hourly"))
-        .where(F.col("hourly_count") > min_hourly_count)
+    figures = shares.groupBy(*keys, "coarse").agg(
+        disc("actual_duration", 0.75).cast("int").alias("quartile"),
+        *[short(middle(m), name) for m, name in zip(MEASURES, ("duration", "delay", "deviation"))],
+        short(mean("actual_duration"), "mean"),
+        rows_behind("actual_duration").alias("count"),
+        *least,
     )
-    monthly = (
-        used.groupBy(*PAIR, "month").agg(*figures("monthly"), *[F.min(c).alias(c) for c in places])
-        .where(F.col("air_distance_meters") > min_distance)
+    whole = Window.partitionBy(*PAIR, "month")
+    of_month = F.max(F.when(F.col("coarse"), F.struct(*FIGURES, *PLACES))).over(whole)
+    names = {"mean": "mean_{}_duration"} | {c: f"{{}}_{c}" for c in FIGURES if c != "mean"}
+    return (
+        figures.withColumn("m", of_month)
+        .where(~F.col("coarse") & (F.col("count") > min_hourly_count) & (F.col("m.air_distance_meters") > min_distance))
+        .select(
+            *PAIR, "month", "hour",
+            *[F.col(c).alias(n.format("hourly")) for c, n in names.items()],
+            *[F.col(f"m.{c}").alias(n.format("monthly")) for c, n in names.items()],
+            *[F.col(f"m.{c}").alias(c) for c in PLACES],
+        )
+        .select(*LEG_STATS.fieldNames())
     )
-    return hourly.join(monthly, [*PAIR, "month"]).select(*LEG_STATS.fieldNames())
 
 
 def datasources(arrivals: DataFrame) -> DataFrame:

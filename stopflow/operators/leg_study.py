@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import (
     describe_columns,
@@ -22,35 +22,56 @@ from ..functions import (
 )
 from .delays import since_time
 from .legs import with_speed
-from .skew import bounded_broadcast
+from .skew import HotGroups, bounded_broadcast, hot_groups, split_hot
 
 NAMED_PAIR = ["previous_stop_name", "stop_name"]
+#: A journey of so many visits is no journey.
+HOT_JOURNEY_ROWS = 200_000
 
 
 def legs_by_selfjoin(
-    arrivals: DataFrame, max_deviation: float = 1800, max_delay: float = 3600
+    arrivals: DataFrame,
+    max_deviation: float = 1800,
+    max_delay: float = 3600,
+    hot: HotGroups | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """Pair each visit with the one whose number is lower by one in the same journey.
 
-    Written as an equi-join on (journey, number), so a long journey spreads over many
-    partitions. Numbers with gaps give no leg. Cancelled and extra visits are left out.
+    Visits are shuffled once, by journey; a window over the numbers then holds exactly the visits with the number
+    before (several where a number is repeated: every pair is a leg). Numbers with gaps give no leg. Cancelled and
+    extra visits are left out. Journeys too large for one task (``hot``; say, a placeholder for a third of all
+    visits) are joined by (journey, number) instead, the earlier side copied to ``salts`` parts of the later one.
     """
     key = "datedServiceJourneyId"
-    before = arrivals.select(
-        key, (F.col("sequenceNr") + 1).alias("sequenceNr"),
-        F.col("stopPointName").alias("previous_stop_name"),
-        F.col("stopPointRef").alias("previous_stop"),
-        F.col("arrivalTime").alias("_arrival"),
-        F.col("aimedArrivalTime").alias("_aimed"),
-    ).where("_arrival IS NOT NULL AND _aimed IS NOT NULL")
-    now = arrivals.where(
-        ~(F.col("journeyCancellation") | F.col("stopCancellation") | F.col("extraCall"))
-        & F.col("arrivalTime").isNotNull() & F.col("aimedArrivalTime").isNotNull()
+    if hot is None:
+        hot = hot_groups(arrivals, [key], HOT_JOURNEY_ROWS)
+    timed = arrivals.where(
+        F.col("arrivalTime").isNotNull() & F.col("aimedArrivalTime").isNotNull()
+        & F.col(key).isNotNull() & F.col("sequenceNr").isNotNull()
     ).select(
-        key, "sequenceNr", "lineRef", F.col("stopPointName").alias("stop_name"),
-        F.col("stopPointRef").alias("stop"), "arrivalTime", "aimedArrivalTime",
+        key, "sequenceNr", "lineRef", F.col("stopPointName").alias("stop_name"), F.col("stopPointRef").alias("stop"),
+        "arrivalTime", "aimedArrivalTime",
+        F.coalesce(~(F.col("journeyCancellation") | F.col("stopCancellation") | F.col("extraCall")), F.lit(False))
+        .alias("_served"),
     )
-    out = now.join(before, [key, "sequenceNr"]).select(
+    before = {"stop_name": "previous_stop_name", "stop": "previous_stop", "arrivalTime": "_arrival", "aimedArrivalTime": "_aimed"}
+    cold, big = split_hot(timed, [key], hot)
+    number_before = Window.partitionBy(key).orderBy("sequenceNr").rangeBetween(-1, -1)
+    paired = (
+        cold.withColumn("_before", F.collect_list(F.struct(*[F.col(c).alias(n) for c, n in before.items()])).over(number_before))
+        .where("_served").select(*timed.columns, F.inline("_before"))
+    )
+    if big is not None:
+        salts = salts or int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        earlier = big.select(key, (F.col("sequenceNr") + 1).alias("sequenceNr"), *[F.col(c).alias(n) for c, n in before.items()])
+        part = F.pmod(F.xxhash64("arrivalTime", "aimedArrivalTime", "stop", "lineRef", F.monotonically_increasing_id()), F.lit(salts))
+        paired = paired.unionByName(
+            big.where("_served").withColumn("_part", part.cast("int"))
+            .join(earlier.withColumn("_part", every), [key, "sequenceNr", "_part"]).drop("_part")
+        )
+    out = paired.select(
         "lineRef", "previous_stop_name", "previous_stop", "stop_name", "stop", key,
         F.col("arrivalTime").alias("time"),
         F.col("aimedArrivalTime").alias("planned_time"),

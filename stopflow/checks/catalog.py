@@ -520,31 +520,31 @@ _ENDS = (
 )
 _LD = "lineRef:s directionRef:s"
 add("route_endpoints", "good", f"{_LD} origin:s destination:s",
-    lambda p: journeys.route_endpoints(p.arrivals, p.selected), _ENDS)
+    lambda p: journeys.route_endpoints(p.arrivals), _ENDS)
 add("ambiguous_endpoints", "good", f"{_LD} count:i",
-    lambda p: journeys.ambiguous(journeys.route_endpoints(p.arrivals, p.selected)),
+    lambda p: journeys.ambiguous(journeys.route_endpoints(p.arrivals)),
     f"SELECT lineRef, directionRef, count(*) AS count FROM ({_ENDS}) GROUP BY 1, 2 HAVING count(*) > 1")
 _ORDER = (
     "SELECT DISTINCT lineRef, directionRef, string_agg(stopPointRef, '|' ORDER BY sequenceNr) AS stops, "
     "count(*) AS len FROM good {where} GROUP BY lineRef, directionRef, serviceJourneyId, operatingDate"
 )
 add("stop_order", "good", f"{_LD} stops:s",
-    lambda p: journeys.stop_order(p.arrivals, p.selected).withColumn("stops", F.array_join("stops", "|")),
+    lambda p: journeys.stop_order(p.arrivals).withColumn("stops", F.array_join("stops", "|")),
     _ORDER.format(where=""))
 _WEEKDAY_LINE = f"WHERE dayofweek(operatingDate) NOT IN (0, 6) AND lineRef = '{LINE}'"
 add("stop_order_weekday_lengths", "good", f"{_LD} len:i",
-    lambda p: journeys.variant_lengths(journeys.stop_order(p.arrivals, p.selected, True, LINE)),
+    lambda p: journeys.variant_lengths(journeys.stop_order(p.arrivals, None, True, LINE)),
     _ORDER.format(where=_WEEKDAY_LINE))
 add("ambiguous_stop_order", "good", f"{_LD} count:i",
-    lambda p: journeys.ambiguous(journeys.stop_order(p.arrivals, p.selected)),
+    lambda p: journeys.ambiguous(journeys.stop_order(p.arrivals)),
     "SELECT lineRef, directionRef, count(DISTINCT stops) AS count FROM "
     f"({_ORDER.format(where='')}) GROUP BY 1, 2 HAVING count(DISTINCT stops) > 1")
 add("canonical_ordering", "good", f"{_LD} stopPointRef:s scheduleNr:i",
-    lambda p: journeys.canonical_ordering(p.arrivals, p.selected),
+    lambda p: journeys.canonical_ordering(p.arrivals),
     "SELECT lineRef, directionRef, stopPointRef, max(sequenceNr) AS scheduleNr FROM good GROUP BY 1, 2, 3")
 _PLACES = "SELECT lineRef, directionRef, stopPointRef, max(sequenceNr) AS scheduleNr FROM good GROUP BY ALL"
 add("ordering_conflicts", "good", "conflicts:i",
-    lambda p: journeys.ordering_conflicts(journeys.canonical_ordering(p.arrivals, p.selected)),
+    lambda p: journeys.ordering_conflicts(journeys.canonical_ordering(p.arrivals)),
     "SELECT count(DISTINCT (lineRef, directionRef)) AS conflicts FROM (SELECT lineRef, directionRef "
     f"FROM ({_PLACES}) GROUP BY lineRef, directionRef, scheduleNr HAVING count(*) >= 2)")
 add("line_direction_count", "arrivals", "count:i",
@@ -560,13 +560,12 @@ _FIVE_SQL = ", ".join(
     f"quantile_disc(v, {q}) AS {n}" for q, n in zip((0.1, 0.25, 0.5, 0.75, 0.9), journeys.QUANTILES)
 ) + ", count(*) AS count"
 add("delay_quantiles", "good", f"{_LD} stopPointRef:s sequenceNr:i hour:i {_FIVE}",
-    lambda p: journeys.delay_quantiles(p.arrivals, selected=p.selected),
+    lambda p: journeys.delay_quantiles(p.arrivals),
     f"SELECT lineRef, directionRef, stopPointRef, sequenceNr, hour, {_FIVE_SQL} FROM ({_WAIT}) GROUP BY ALL")
 
 
 def _by_place(p: Projected) -> DataFrame:
-    ordering = journeys.canonical_ordering(p.arrivals, p.selected)
-    return journeys.delay_quantiles(p.arrivals, ordering, True, p.selected)
+    return journeys.delay_quantiles(p.arrivals, by_place=True, weekdays_only=True)
 
 
 _BY_PLACE = (

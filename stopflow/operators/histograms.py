@@ -12,11 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def value_counts(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
-    """(keys, measure, value, n, and the ``extra`` aggregates of the rows behind it). NULL is a value too; values are
-    whole numbers."""
+def value_counts(
+    rows: DataFrame, keys: Sequence[str], measures: Sequence[str], extra: Sequence[Column] = (), kind: str = "bigint"
+) -> DataFrame:
+    """(keys, measure, value, n, and the ``extra`` aggregates of the rows behind it). NULL is a value too."""
     others = [c for c in rows.columns if c not in (*keys, *measures)]
-    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("bigint").alias("value")) for m in measures])
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast(kind).alias("value")) for m in measures])
     return (
         rows.select(*keys, *others, F.inline(pairs))
         .groupBy(*keys, "measure", "value").agg(F.count(F.lit(1)).alias("n"), *extra)

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from ..functions import local_hour, quantile_disc, seconds_between
+from ..functions import local_hour, seconds_between
 from ..functions.stats import DECILES
 from ..schemas import FLAGS, JOURNEY
+from .histograms import disc, rows_behind, value_counts, with_shares
 from .leg_stats import weekdays
-from .skew import HotGroups, with_neighbours
+from .skew import HOT_ROWS, NO_HOT, HotGroups, hot_groups, order_key, split_hot, with_neighbours, with_positions
 
 LINE = ["lineRef", "directionRef"]
 QUANTILES = ["first_decile", "first_quartile", "median", "last_quartile", "last_decile"]
 
 
-def _any_flag() -> Column:
-    """Whether any flag was set in the group (NULL while unknown and none is known set)."""
-    out = F.bool_or(FLAGS[0])
-    for c in FLAGS[1:]:
-        out = out | F.bool_or(c)
-    return out
+def _any_flag(over: WindowSpec | None = None) -> Column:
+    """Whether any flag was set in the group or window (NULL while unknown and none is known set)."""
+    each = [F.bool_or(c) if over is None else F.bool_or(c).over(over) for c in FLAGS]
+    return functools.reduce(lambda a, b: a | b, each)
 
 
 def selected_journeys(arrivals: DataFrame) -> DataFrame:
@@ -100,44 +100,102 @@ def cancellation_context(
     return out if k is None else out.limit(k)
 
 
-def _of_selected(arrivals: DataFrame, selected: DataFrame | None) -> DataFrame:
-    if selected is None:
-        selected = selected_journeys(arrivals)
-    return arrivals.join(selected, JOURNEY, "left_semi")
+def of_selected(
+    arrivals: DataFrame, selected: DataFrame | None = None, hot: HotGroups | None = None
+) -> DataFrame:
+    """Visits of :func:`selected_journeys`, partitioned by journey.
+
+    The flags are carried to every visit of a journey by a window, so the visits are read and shuffled once.
+    Journeys too large for one task are judged by an aggregate instead, one row each. ``selected`` uses a
+    list that is there already.
+    """
+    if selected is not None:
+        return arrivals.join(selected, JOURNEY, "left_semi")
+    if hot is None:
+        hot = hot_groups(arrivals, JOURNEY)
+    cold, big = split_hot(arrivals, JOURNEY, hot)
+    kept = (
+        cold.where(" AND ".join(f"{c} IS NOT NULL" for c in JOURNEY))
+        .withColumn("_bad", _any_flag(Window.partitionBy(*JOURNEY))).where(~F.col("_bad")).drop("_bad")
+    )
+    if big is None:
+        return kept
+    # one row for each hot journey, whose number the sketch bounds
+    return kept.unionByName(big.join(F.broadcast(selected_journeys(big)), JOURNEY, "left_semi"))
 
 
-def route_endpoints(arrivals: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+def route_endpoints(
+    arrivals: DataFrame, selected: DataFrame | None = None, hot: HotGroups | None = None
+) -> DataFrame:
     """Distinct (origin, destination) per line and direction over the good journeys."""
     at = F.when(F.col("stopPointRef").isNotNull(), F.struct("sequenceNr", "stopPointRef"))
-    ends = _of_selected(arrivals, selected).groupBy(*LINE, *JOURNEY).agg(
+    ends = of_selected(arrivals, selected, hot).groupBy(*LINE, *JOURNEY).agg(
         F.min_by("stopPointRef", at).alias("origin"), F.max_by("stopPointRef", at).alias("destination")
     )
     return ends.select(*LINE, "origin", "destination").distinct()
 
 
+SEQUENCE = ["sequenceNr", "stopPointRef"]
+
+
 def stop_order(
     arrivals: DataFrame,
     selected: DataFrame | None = None,
     weekdays_only: bool = False,
     line: str | None = None,
+    hot: HotGroups | None = None,
+    chunk_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Distinct stop sequences per line and direction.
+    """Distinct stop sequences per line and direction, by (number, stop), unknown ones last.
 
-    A sequence is one value, so each journey's stops meet in one row; that is the result
-    itself and as long as one journey.
+    A sequence is one array value. Ordinary journeys are shuffled once and make theirs where they lie; those too large
+    for one task go through :func:`_long_sequences`.
     """
     if weekdays_only:
         arrivals = weekdays(arrivals, F.col("operatingDate"))
     if line is not None:
         arrivals = arrivals.where(F.col("lineRef") == line)
-    visits = F.array_sort(F.collect_list(F.struct("sequenceNr", "stopPointRef")))
-    return (
-        _of_selected(arrivals, selected)
-        .groupBy(*LINE, *JOURNEY)
-        .agg(F.transform(visits, lambda v: v["stopPointRef"]).alias("stops"))
-        .select(*LINE, "stops")
-        .distinct()
+    if hot is None:
+        hot = hot_groups(arrivals, JOURNEY) if selected is None else NO_HOT
+    rows = of_selected(arrivals, selected, hot).select(*LINE, *JOURNEY, *SEQUENCE)
+    cold, big = split_hot(rows, JOURNEY, hot)
+    visits = F.array_sort(F.collect_list(order_key(SEQUENCE)))
+    orders = (
+        cold.groupBy(*LINE, *JOURNEY).agg(F.transform(visits, lambda v: v["v1"]).alias("stops"))
+        .select(*LINE, "stops").distinct()
     )
+    if big is None:
+        return orders
+    return orders.unionByName(_long_sequences(big, hot, chunk_rows)).distinct()
+
+
+def _long_sequences(rows: DataFrame, hot: HotGroups, chunk_rows: int) -> DataFrame:
+    """Distinct sequences of very long journeys.
+
+    Positions come from the ordered chunks of ``skew``. Two hashes of (position, stop), combined by exclusive or
+    map-side in any order, name a journey's sequence; one journey of each name stands for all. Only those
+    journeys' chunks become arrays, and only these, in their order, the sequence.
+    """
+    group = [*LINE, *JOURNEY]
+    placed = with_positions(rows, group, SEQUENCE, hot_groups(rows, group, 1), chunk_rows).withColumn(
+        "_chunk", F.floor((F.col("position") - 1) / F.lit(chunk_rows))
+    )
+    seeded = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "position", "stopPointRef"))
+    names = placed.groupBy(*group).agg(
+        seeded(1).alias("h1"), seeded(2).alias("h2"), F.count(F.lit(1)).alias("size")
+    )
+    one = Window.partitionBy(*LINE, "h1", "h2", "size").orderBy(*JOURNEY)
+    # one row for each variant of a hot journey, whose number the sketch bounds
+    chosen = F.broadcast(names.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*group))
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}"))
+    parts = (
+        placed.alias("p").join(chosen.alias("c"), same, "left_semi")
+        .groupBy(*group, "_chunk").agg(F.array_sort(F.collect_list(F.struct("position", "stopPointRef"))).alias("part"))
+    )
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "part"))), lambda c: c["part"]))
+    return parts.groupBy(*group).agg(F.transform(whole, lambda v: v["stopPointRef"]).alias("stops")).select(*LINE, "stops")
 
 
 def variant_lengths(orders: DataFrame) -> DataFrame:
@@ -153,10 +211,12 @@ def line_direction_count(arrivals: DataFrame) -> DataFrame:
     return arrivals.select(*LINE).distinct().agg(F.count(F.lit(1)).alias("count"))
 
 
-def canonical_ordering(arrivals: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+def canonical_ordering(
+    arrivals: DataFrame, selected: DataFrame | None = None, hot: HotGroups | None = None
+) -> DataFrame:
     """Place of each stop on a line and direction: its highest sequence number."""
     return (
-        _of_selected(arrivals, selected)
+        of_selected(arrivals, selected, hot)
         .groupBy(*LINE, "stopPointRef")
         .agg(F.max("sequenceNr").alias("scheduleNr"))
     )
@@ -170,30 +230,38 @@ def ordering_conflicts(ordering: DataFrame) -> DataFrame:
 
 def delay_quantiles(
     arrivals: DataFrame,
-    ordering: DataFrame | None = None,
+    by_place: bool = False,
     weekdays_only: bool = False,
     selected: DataFrame | None = None,
     tz: str = "UTC",
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Delay deciles and quartiles per line, direction, stop and hour.
 
-    Without ``ordering`` stops are told apart by reference and raw number, with it by their
-    place in :func:`canonical_ordering`.
+    Stops are told apart by reference and raw number, or ``by_place`` of :func:`canonical_ordering`. Visits are read and
+    counted once, by stop, hour and delay; places, too, come from those counts (of all days, hence the days that do not
+    take part are counted as well).
     """
-    rows = weekdays(arrivals, F.col("operatingDate")) if weekdays_only else arrivals
-    rows = _of_selected(rows, selected)
-    place = ["stopPointRef", "sequenceNr"]
-    if ordering is not None:
-        rows = rows.join(ordering, [*LINE, "stopPointRef"])
-        place = ["scheduleNr"]
     seen = F.coalesce("arrivalTime", "departureTime")
-    times = rows.select(
-        *LINE, *place, local_hour(seen, tz).alias("hour"),
+    used = F.lit(True) if not weekdays_only else ~F.dayofweek("operatingDate").isin(1, 7)
+    stop = [*LINE, "stopPointRef"]
+    rows = of_selected(arrivals, selected, hot).select(
+        *stop, "sequenceNr", local_hour(seen, tz).alias("hour"), used.alias("used"),
         seconds_between(seen, F.coalesce("aimedArrivalTime", "aimedDepartureTime")).alias("delay_seconds"),
     )
-    return times.groupBy(*LINE, *place, "hour").agg(
-        *[quantile_disc("delay_seconds", p).alias(n) for n, p in zip(QUANTILES, DECILES)],
-        F.count(F.lit(1)).alias("count"),
+    if not by_place:
+        rows = rows.where("used")
+    counts = value_counts(rows, [*stop, "sequenceNr", "hour", "used"], ["delay_seconds"], kind="double")
+    counts = counts.repartition(*stop)
+    group = [*stop, "sequenceNr", "hour"]
+    if by_place:
+        group = [*LINE, "scheduleNr", "hour"]
+        placed = counts.withColumn("scheduleNr", F.max("sequenceNr").over(Window.partitionBy(*stop)))
+        counts = placed.where("used AND stopPointRef IS NOT NULL").where(" AND ".join(f"{c} IS NOT NULL" for c in LINE))
+        counts = counts.groupBy(*group, "measure", "value").agg(F.sum("n").alias("n"))
+    return with_shares(counts, group).groupBy(*group).agg(
+        *[disc("delay_seconds", p).alias(n) for n, p in zip(QUANTILES, DECILES)],
+        rows_behind("delay_seconds").alias("count"),
     )
 
 

@@ -91,7 +91,7 @@ def build_legs(spark: SparkSession, root: str, days: list[date]) -> None:
     clean = clean_arrivals(arrivals, stopdata, hot=hot).select(*LEG_INPUT)
     clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        save_partitions(route_names(clean), root, "route_name")
+        save_partitions(route_names(clean, hot), root, "route_name")
         canonical = canonical_direction(read_table(spark, root, "route_name")).where(
             F.col("operatingDate").isin(days)
         )

@@ -16,110 +16,22 @@ repeated ids are kept, each row being its own document; an empty table gives an
 
 from __future__ import annotations
 
-import json
-import os
-import re
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import LATIN_END
+from .tokens import load, slices
 
 CAPACITY = 4096
 END_TOKEN = 2
 MAX_OPEN = 1024
-#: Pieces of text and words that a Python worker remembers, in each of two generations (some
-#: 200 bytes each).
-MEMO = 400_000
-WORDS = 350_000
 #: Sequence ids are partition << SEQUENCE_BITS | counter.
 SEQUENCE_BITS = 32
 
 
-class _Memo:
-    """Two generations of a dictionary; what is used again moves to the recent one."""
-
-    def __init__(self, size: int):
-        self.size, self.recent, self.older = size, {}, {}
-
-    def age(self) -> None:
-        if len(self.recent) >= self.size:
-            self.recent, self.older = {}, self.recent
-
-    def unknown(self, keys: set[str]) -> list[str]:
-        """The keys that neither generation holds; the others are recent from here on."""
-        out, recent, older = [], self.recent, self.older
-        for key in keys.difference(recent):
-            value = older.get(key)
-            if value is None:
-                out.append(key)
-            else:
-                recent[key] = value
-        return out
-
-
-class CachedTokenizer:
-    """The library's ids of whole texts. This kind of vocabulary drops white space, so a text's ids are those
-    of its pieces between ASCII white space, and a piece's ids those of its words, which the
-    vocabulary file's own pattern splits. Pieces and words are remembered; the library encodes the
-    words seen for the first time. Pieces with strings of special tokens, or with letters that newer
-    Unicode versions may treat in another way, go to the library whole."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        import regex
-        from tokenizers import Tokenizer
-
-        self._library = Tokenizer.from_file(path)
-        self._library.no_truncation()
-        self._library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._find = regex.compile(pattern, regex.V1).findall
-        self._split = re.compile(r"[ \t\n\r\x0b\x0c]+").split
-        self.forget()
-
-    def forget(self) -> None:
-        """Give memory back; an idle Python worker stays for a while."""
-        self._pieces, self._words = _Memo(MEMO), _Memo(WORDS)
-
-    def _words_of(self, piece: str) -> list[str]:
-        if "<|" in piece:
-            return [piece]
-        if piece.isascii():
-            return self._find(piece.lower())
-        if max(piece) <= LATIN_END:
-            return self._find(unicodedata.normalize("NFC", piece).lower())
-        return [piece]
-
-    def ids_bytes(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [self._split(text) for text in texts]
-        self._pieces.age()
-        self._words.age()
-        new = {piece: self._words_of(piece) for piece in self._pieces.unknown(set().union(*split))}
-        unseen = self._words.unknown(set().union(*new.values()))
-        pieces, words = self._pieces.recent, self._words.recent
-        for at in range(0, len(unseen), 4096):
-            part = unseen[at : at + 4096]
-            for word, e in zip(part, self._library.encode_batch_fast(part, add_special_tokens=False)):
-                words[word] = np.array(e.ids, "<u4").tobytes()
-        for piece, parts in new.items():
-            pieces[piece] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
-        return [b"".join(map(pieces.__getitem__, s)) for s in split]
-
-
-@lru_cache(maxsize=4)
-def load(path: str) -> CachedTokenizer:
-    return CachedTokenizer(path)
-
-
 class SumOfSquares:
     """Online packer; ``sequences`` collects finished ones as lists of pieces. A piece is
     (document, start, ids); pieces of a window follow each other without a gap."""
@@ -214,9 +126,6 @@ class SumOfSquares:
         return out
 
 
-SLICE = 256  # documents that are tokenised together
-
-
 def pack_documents(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
     capacity: int = CAPACITY, end_token: int = END_TOKEN, max_open: int = MAX_OPEN,
@@ -235,7 +144,7 @@ def pack_documents(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, packer = load(path), SumOfSquares(capacity, max_open)
-        end = end_token.to_bytes(4, "little")
+        end = np.array([end_token], "<u4")
         number = TaskContext.get().partitionId() << SEQUENCE_BITS
         id_type = None
 
@@ -260,12 +169,11 @@ def pack_documents(
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                texts = [text or "" for text in part.column(1).to_pylist()]
-                for doc, data in zip(part.column(0).to_pylist(), tokenizer.ids_bytes(texts)):
-                    ids = np.frombuffer(data + end, "<u4")
-                    packer.add((doc, len(ids)), ids)
+            for part in slices(batch, 1):
+                ids, bounds = tokenizer.ids(part.column(1))
+                for doc, lo, hi in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    own = np.concatenate((ids[lo:hi], end))
+                    packer.add((doc, len(own)), own)
                 yield finished()
         if not keep_memory:
             tokenizer.forget()

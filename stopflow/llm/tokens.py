@@ -70,20 +70,24 @@ class Memo:
         return out
 
 
+def spread(codes: np.ndarray, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the ids behind each of ``codes`` one after the other, and where each one's end."""
+    size = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+    store = np.frombuffer(b"".join(values), "<u4")
+    begin = np.cumsum(size) - size
+    n = size[codes]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return store[np.repeat(begin[codes] - (ends - n), n) + np.arange(total)], ends
+
+
 def gather(texts: pa.Array, memo: Memo, make: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after the other, n + 1 offsets). ``make`` gives the ids of pieces, as little-endian
     unsigned 32-bit integers; NULL texts are empty."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = split.flatten().dictionary_encode()
     values = memo.values(coded.dictionary.to_pylist(), make)
-    size = np.fromiter(map(len, values), np.int64, len(values)) >> 2
-    store = np.frombuffer(b"".join(values), "<u4")
-    begin = np.cumsum(size) - size
-    piece = coded.indices.to_numpy(zero_copy_only=False)
-    n = size[piece]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    ids = store[np.repeat(begin[piece] - (ends - n), n) + np.arange(total)]
+    ids, ends = spread(coded.indices.to_numpy(zero_copy_only=False), values)
     bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
     return ids, np.concatenate([[0], ends])[bounds]
 
@@ -100,7 +104,7 @@ class Tokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._find = regex.compile(pattern, regex.V1).findall
+        self._find = regex.compile(r"\n|" + pattern, regex.V1).findall
         vocab, suffix = self._library.get_vocab(), spec["model"]["end_of_word_suffix"]
         self._final = np.zeros(max(vocab.values()) + 1, bool)
         self._final[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
@@ -110,15 +114,6 @@ class Tokenizer:
         """Give memory back; an idle Python worker stays for a while."""
         self._pieces, self._words = Memo(MEMO), Memo(WORDS)
 
-    def _words_of(self, piece: str) -> list[str]:
-        if "<|" in piece:
-            return [piece]
-        if piece.isascii():
-            return self._find(piece.lower())
-        if max(piece) <= LATIN_END:
-            return self._find(unicodedata.normalize("NFC", piece).lower())
-        return [piece]
-
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
@@ -144,10 +139,23 @@ class Tokenizer:
         return list(map(known.__getitem__, words))
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        parts = [self._words_of(piece) for piece in pieces]
-        words = list(set().union(*parts))
-        known = dict(zip(words, self._words.values(words, self._encode_words)))
-        return [known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p]) for p in parts]
+        out = [b""] * len(pieces)
+        strange = [at for at, p in enumerate(pieces) if "<|" in p or not p.isascii() and max(p) > LATIN_END]
+        for at, data in zip(strange, self._one_by_one([pieces[at] for at in strange])):
+            out[at] = data
+        skip = set(strange)
+        plain = [at for at in range(len(pieces)) if at not in skip] if skip else range(len(pieces))
+        # All pieces are split at once; a line end follows each and is a word without ids.
+        text = "".join([pieces[at] + "\n" for at in plain])
+        coded = pa.array(self._find(unicodedata.normalize("NFC", text).lower()), pa.string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        ids, ends = spread(codes, self._words.values(words, self._encode_words))
+        if plain:
+            data, cut = ids.tobytes(), (4 * ends[codes == words.index("\n")]).tolist()
+            for at, i, j in zip(plain, [0, *cut], cut):
+                out[at] = data[i:j]
+        return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, n + 1 offsets)."""

@@ -49,24 +49,30 @@ def block_sizes(counts: np.ndarray) -> np.ndarray:
     return sizes
 
 
-def _choices(ids: np.ndarray, until: np.ndarray) -> np.ndarray:
-    """The selector from each position on; ``until`` is the end of its block."""
-    n = len(ids)
-    here = np.arange(n)
-    best, least = np.full(n, 15, np.uint8), np.full(n, 64.0)
-    for s in range(14, -1, -1):
-        width = int(WIDTHS[s])
-        # Positions with an id that needs an escape, counted up to each position.
-        large = offsets(ids >= (1 << width) - 1) if width else offsets(ids > 0)
-        stop = np.minimum(here + COUNTS[s], until)
-        escaped = large[stop] - large[:-1]
-        cost = (SLOT_BITS + 4 + ESCAPE_BITS * escaped) / (stop - here)
-        better = cost <= least
-        if not width:
-            better &= escaped == 0  # no slots, hence nothing that could mark an escape
-        best[better] = s
-        least = np.where(better, cost, least)
-    return best
+class _Costs:
+    """Chooses selectors: for each width, how many ids up to a position would need an escape."""
+
+    def __init__(self, ids: np.ndarray):
+        self.large = []
+        for s in range(15):
+            width = int(WIDTHS[s])
+            count = np.zeros(len(ids) + 1, np.int32)
+            np.cumsum(ids >= (1 << width) - 1 if width else ids > 0, out=count[1:], dtype=np.int32)
+            self.large.append(count)
+
+    def choose(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The selector at each position, where its block has ``left`` ids left."""
+        best, least = np.full(len(at), 15, np.uint8), np.full(len(at), SLOT_BITS + 4.0, np.float32)
+        for s in range(14, -1, -1):
+            held = np.minimum(left, COUNTS[s])
+            escaped = self.large[s][at + held] - self.large[s][at]
+            cost = (ESCAPE_BITS * escaped + np.float32(SLOT_BITS + 4)) / held.astype(np.float32)
+            better = cost <= least
+            if not WIDTHS[s]:
+                better &= escaped == 0  # no slots, hence nothing that could mark an escape
+            best[better] = s
+            np.copyto(least, cost, where=better)
+        return best
 
 
 def encode(ids: np.ndarray, counts: np.ndarray) -> Blocks:
@@ -77,21 +83,22 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> Blocks:
     if not len(sizes):
         none = np.zeros(0, np.int64)
         return Blocks(sizes, offsets(none), offsets(none), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-    until = np.repeat(begin[1:], sizes)
-    chosen = _choices(ids, until)
+    costs = _Costs(ids)
     # All blocks walk in step: one word of each block that has ids left.
     at, block = begin[:-1].copy(), np.arange(len(sizes))
-    starts, owners = [], []
+    starts, owners, chosen = [], [], []
     while len(at):
+        picked = costs.choose(at, begin[block + 1] - at)
         starts.append(at)
         owners.append(block)
-        at = at + COUNTS[chosen[at]]
+        chosen.append(picked)
+        at = at + COUNTS[picked]
         more = at < begin[block + 1]
         at, block = at[more], block[more]
     start, owner = np.concatenate(starts), np.concatenate(owners)
     order = np.argsort(start, kind="stable")
     start, owner = start[order], owner[order]
-    selector = chosen[start].astype(np.int64)
+    selector = np.concatenate(chosen)[order].astype(np.int64)
     held = np.minimum(COUNTS[selector], begin[owner + 1] - start)
     words = selector.astype(np.uint64) << np.uint64(SLOT_BITS)
     escape_place, escape_id = [], []

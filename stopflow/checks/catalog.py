@@ -769,6 +769,20 @@ def _late_days(p: Projected) -> DataFrame:
 add("etl_late_days_leg_stats", "stats", _LEG_STATS, _late_days, "SELECT * FROM leg_stats")
 
 
+def _late_direction(p: Projected) -> DataFrame:
+    """January comes after February has been done, and turns the directions of February's routes."""
+    root = _ingested(p, date(2024, 2, 1), date(2024, 3, 1))
+    ingest.ingest_dim(p.stops, root, "stops")
+    ingest.ingest_dim(p.quays, root, "quays")
+    etl.run(p.spark, root)
+    ingest.ingest_days(p.arrivals, root, date(2024, 1, 1), date(2024, 3, 1))
+    etl.run(p.spark, root)
+    return tables.read_table(p.spark, root, "legs")
+
+
+add("etl_late_direction", "legs", QUERIES["legs"].contract, _late_direction, "SELECT * FROM legs")
+
+
 def _zoneless(p: Projected) -> DataFrame:
     """Visits whose times carry no zone, meant in UTC, taken in and counted by hour of recording."""
     zone = p.spark.conf.get("spark.sql.session.timeZone")

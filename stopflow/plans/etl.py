@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 from datetime import date
 
@@ -22,12 +23,12 @@ from ..operators.legs import LEG_INPUT, candidate_legs, with_direction
 from ..operators.routes import canonical_direction, route_names
 from ..operators.skew import bounded_broadcast, hot_groups
 from ..operators.visits import clean_arrivals, stop_dimension
-from ..schemas import JOURNEY
+from ..schemas import JOURNEY, TABLES
+from ..sources.shared import names_in
 from ..sources.tables import (
     date_frame,
     dates,
     drop_partitions,
-    folders,
     mark,
     months_of,
     partition_values,
@@ -53,6 +54,11 @@ def plan_days(
     return date_frame(spark, sorted(d for d in days if from_date is None or d >= from_date))
 
 
+def pending_months(spark: SparkSession, root: str) -> list[date]:
+    """Months that a run has changed the legs of and not yet the statistics."""
+    return [date.fromisoformat(n) for n in names_in(spark, table_path(root, PENDING))]
+
+
 def plan_months(
     spark: SparkSession,
     root: str,
@@ -66,24 +72,22 @@ def plan_months(
     need = set(available)
     if not invalidate:
         need -= set(partition_values(spark, root, "leg_stats", "month"))
-        need |= {*available[-1:], *months_of(built)}
+        need |= {*available[-1:], *months_of(built), *pending_months(spark, root)}
     first = from_date.replace(day=1) if from_date is not None else date.min
     # A month whose last day is gone stays on the list, so that its statistics go too.
     return date_frame(spark, sorted(m for m in need if m >= first or m in set(months_of(built))), "month")
 
 
 def build_legs(spark: SparkSession, root: str, days: list[date]) -> None:
-    """Route names and legs of ``days`` in one go.
+    """Route names and legs of ``days`` in one go, and the directions of other days that change by them.
 
     The cleaned visits feed both, so they are persisted (to disk if need be; lost blocks
     are computed again). The route names are written first: the canonical direction comes
-    from the whole history including these days, and a route's first direction is the same
-    for all days from its first one on, so a single pass equals a loop over ascending days.
-    Late days can give a route an earlier first direction; days written before keep theirs.
-    Old partitions go first: days that yield no rows any more leave none behind, and days of
-    a run that breaks off are missing ones to the next run.
+    from the whole history including these days. Both tables are exchanged in one step each: readers see the old rows
+    of a day until the new ones are there, days that yield no rows any more leave none behind, and a run
+    that breaks off loses nothing (days whose legs it has not exchanged are planned again).
     """
-    for name in ("route_name", "legs", *DAY_TABLES):
+    for name in DAY_TABLES:
         drop_partitions(spark, root, name, days)
     arrivals = read_days(spark, root, "arrivals", days)
     stopdata = stop_dimension(read_table(spark, root, "stops"), read_table(spark, root, "quays"))
@@ -91,14 +95,48 @@ def build_legs(spark: SparkSession, root: str, days: list[date]) -> None:
     clean = clean_arrivals(arrivals, stopdata, hot=hot).select(*LEG_INPUT)
     clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        save_partitions(route_names(clean, hot), root, "route_name")
+        save_partitions(route_names(clean, hot), root, "route_name", replaced=days)
         canonical = canonical_direction(read_table(spark, root, "route_name")).where(
             F.col("operatingDate").isin(days)
         )
         legs = with_direction(candidate_legs(clean, hot), bounded_broadcast(canonical))
-        save_partitions(legs, root, "legs", sort=LEG_ORDER)
+        save_partitions(legs, root, "legs", sort=LEG_ORDER, replaced=days)
     finally:
         clean.unpersist()
+    repair_directions(spark, root, days)
+
+
+ROUTE_KEY = ["dataSource", "lineRef", "origin", "destination"]
+DIRECTIONS = "route_direction"
+
+
+def repair_directions(spark: SparkSession, root: str, built: Iterable[date]) -> list[date]:
+    """Carry changed directions of routes to the days written before; returns these days.
+
+    A late day may be the first of a route and turn its direction. The directions that the legs carry are kept as
+    a small table; routes whose direction differs from it name the days to mend, and the legs of just those days
+    are exchanged with the new direction (nothing else in them depends on it). The table is renewed last, so a
+    run that breaks off before is made up for by the next.
+    """
+    path = table_path(root, DIRECTIONS)
+    kept = ready_versions(spark, path)
+    names = canonical_direction(read_table(spark, root, "route_name"))
+    now = names.select(*ROUTE_KEY, "direction").distinct()
+    stale: list[date] = []
+    if kept:
+        then = spark.read.schema(TABLES[DIRECTIONS]).parquet(kept[-1]).withColumnRenamed("direction", "_then")
+        same = functools.reduce(lambda a, b: a & b, [names[c].eqNullSafe(then[c]) for c in ROUTE_KEY])
+        known = names.join(then, same)
+        turned = known.where(F.col("direction") != F.col("_then")).select(names.operatingDate).distinct()
+        skip = set(built)
+        stale = sorted(r[0] for r in turned.collect() if r[0] not in skip)
+    if stale:
+        legs = read_days(spark, root, "legs", stale).drop("direction")
+        canonical = names.where(F.col("operatingDate").isin(stale))
+        save_partitions(with_direction(legs, bounded_broadcast(canonical)), root, "legs", sort=LEG_ORDER, replaced=stale)
+    if stale or not kept or now.exceptAll(spark.read.schema(TABLES[DIRECTIONS]).parquet(kept[-1])).limit(1).count():
+        write_ready(spark, now.select(*TABLES[DIRECTIONS].fieldNames()), path)
+    return stale
 
 
 #: Small tables by day, from which the lookup tables are made.
@@ -126,26 +164,47 @@ def build_dimensions(spark: SparkSession, root: str) -> None:
 
 
 def build_leg_stats(spark: SparkSession, root: str, months: list[date], tz: str = "UTC") -> None:
-    """Statistics of ``months``; their old partitions go first, as in :func:`build_legs`."""
+    """Statistics of ``months``, exchanged with their old ones in one step."""
     if not months:
         return
-    drop_partitions(spark, root, "leg_stats", months)
     days = [d for d in partition_values(spark, root, "legs", "operatingDate")
             if d.replace(day=1) in set(months)]
     if days:
-        save_partitions(leg_stats(read_days(spark, root, "legs", days), tz=tz), root, "leg_stats")
+        stats = leg_stats(read_days(spark, root, "legs", days), tz=tz)
+        save_partitions(stats, root, "leg_stats", replaced=months)
+    else:
+        drop_partitions(spark, root, "leg_stats", months)
 
 
 SERVING = "serving"
 READY = "_READY"
 
 
+def ready_versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete folders below ``path``, the newest last."""
+    return [f"{path}/{v}" for v in names_in(spark, path) if READY in names_in(spark, f"{path}/{v}")]
+
+
+def next_version(spark: SparkSession, path: str) -> str:
+    """An empty folder after the newest complete one."""
+    before = ready_versions(spark, path)
+    out = f"{path}/v{int(before[-1].rpartition('v')[2]) + 1 if before else 1:08d}"
+    remove(spark, out)
+    return out
+
+
+def write_ready(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """``df`` as the newest complete folder below ``path``; the one before stays."""
+    before, out = ready_versions(spark, path), next_version(spark, path)
+    df.write.parquet(out)
+    mark(spark, f"{out}/{READY}")
+    for old in before[:-1]:
+        remove(spark, old)
+
+
 def serving_versions(spark: SparkSession, root: str) -> list[str]:
     """Folders of complete publications, the newest last."""
-    out = table_path(root, SERVING)
-    return [
-        f"{out}/{v}" for v in folders(spark, out) if READY in folders(spark, f"{out}/{v}")
-    ]
+    return ready_versions(spark, table_path(root, SERVING))
 
 
 def serving_root(spark: SparkSession, root: str) -> str:
@@ -163,10 +222,7 @@ def publish(spark: SparkSession, root: str) -> str:
     They go into a folder of their own, which counts once its mark is made, the last step. Readers see one
     publication or the other, never a mixture; the one before stays for those still reading it.
     """
-    before = serving_versions(spark, root)
-    number = int(before[-1].rpartition("v")[2]) + 1 if before else 1
-    out = f"{table_path(root, SERVING)}/v{number:08d}"
-    remove(spark, out)
+    before, out = serving_versions(spark, root), next_version(spark, table_path(root, SERVING))
     stats = read_table(spark, root, "leg_stats")
     write_clustered(
         stats, table_path(out, "leg_stats"), ["month", "hour", "dataSource"], ["from_stop", "to_stop"]
@@ -182,6 +238,8 @@ def publish(spark: SparkSession, root: str) -> str:
 
 
 UNPUBLISHED = "_unpublished"
+#: Months whose legs have changed since their statistics were made, one empty folder each.
+PENDING = "_pending_months"
 
 
 def run(
@@ -202,21 +260,25 @@ def run(
     note = table_path(root, UNPUBLISHED)
     if days:
         mark(spark, note)
-        # Until they are made again, the statistics of these months are missing, hence planned.
-        drop_partitions(spark, root, "leg_stats", months_of(days))
+        for month in months_of(days):
+            mark(spark, f"{table_path(root, PENDING)}/{month.isoformat()}")
     size = batch_days or max(len(days), 1)
     for i in range(0, len(days), size):
         build_legs(spark, root, days[i : i + size])
     months = dates(plan_months(spark, root, from_date, invalidate, days))
     if not days and not invalidate:
         done = set(partition_values(spark, root, "leg_stats", "month"))
-        months = [m for m in months if m not in done]
-        left_over = UNPUBLISHED in folders(spark, root) or not serving_versions(spark, root)
+        months = [m for m in months if m not in done or m in pending_months(spark, root)]
+        left_over = UNPUBLISHED in names_in(spark, root) or not serving_versions(spark, root)
         if not months and not left_over:
             return {"days": [], "months": []}
     mark(spark, note)
+    if not days:
+        repair_directions(spark, root, [])
     build_dimensions(spark, root)
     build_leg_stats(spark, root, months, tz)
+    for month in months:
+        remove(spark, f"{table_path(root, PENDING)}/{month.isoformat()}")
     publish(spark, root)
     remove(spark, note)
     return {"days": days, "months": months}

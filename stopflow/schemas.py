@@ -71,6 +71,8 @@ SOURCE_DAY = _schema(
 LINE_DAY = _schema(
     "operatingDate date, lineRef string, dataSource string, from_stop string, to_stop string"
 )
+#: The direction of each route that the legs carry.
+ROUTE_DIRECTION = _schema("dataSource string, lineRef string, origin string, destination string, direction string")
 ARRIVALS_STATS = _schema("min_date date, max_date date, total_arrivals bigint")
 
 #: Partition column of each partitioned table.
@@ -83,11 +85,15 @@ PARTITIONED_BY = {
     "line_day": "operatingDate",
 }
 
+#: Tables whose partitions are exchanged by manifests, so that readers never meet a gap.
+VERSIONED = ("route_name", "legs", "leg_stats")
+
 TABLES = {
     "arrivals": ARRIVALS,
     "quays": QUAYS,
     "stops": STOPS,
     "route_name": ROUTE_NAME,
+    "route_direction": ROUTE_DIRECTION,
     "legs": LEGS,
     "leg_stats": LEG_STATS,
     "datasources": DATASOURCES,

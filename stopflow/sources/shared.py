@@ -1,4 +1,4 @@
-"""Folders that the driver and all executors share."""
+"""Folders that the driver and all executors share, and what lies in them."""
 
 from __future__ import annotations
 
@@ -16,3 +16,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/stopflow-{name}-{uuid.uuid4().hex}"
+
+
+def folder_at(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, which reaches every store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    system, where = folder_at(spark, path)
+    if not system.exists(where):
+        return []
+    return sorted(status.getPath().getName() for status in system.listStatus(where))

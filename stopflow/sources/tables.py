@@ -8,7 +8,9 @@ from datetime import date
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schemas import PARTITIONED_BY, TABLES
+from ..schemas import PARTITIONED_BY, TABLES, VERSIONED
+from . import versions
+from .shared import folder_at, names_in
 
 
 def table_path(root: str, name: str) -> str:
@@ -20,13 +22,25 @@ def _missing(error: AnalysisException) -> bool:
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A known table with its declared schema (no footer inference, partitions typed)."""
-    return spark.read.schema(TABLES[name]).parquet(table_path(root, name))
+    """A known table with its declared schema (no footer inference, partitions typed). Where the table has
+    manifests, the partitions of the newest one."""
+    path = table_path(root, name)
+    held = versions.current(spark, path) if name in VERSIONED else None
+    if held is not None:
+        return versions.read(spark, path, TABLES[name], PARTITIONED_BY[name], held)
+    return spark.read.schema(TABLES[name]).parquet(path)
 
 
 def read_days(spark: SparkSession, root: str, name: str, days: Sequence[date]) -> DataFrame:
     """Only the given daily partitions; the list prunes at planning time."""
-    return read_table(spark, root, name).where(F.col("operatingDate").isin(list(days)))
+    path, wanted = table_path(root, name), {d.isoformat() for d in days}
+    held = versions.current(spark, path) if name in VERSIONED else None
+    if held is None:
+        rows = read_table(spark, root, name)
+    else:
+        held = {v: n for v, n in held.items() if v in wanted}
+        rows = versions.read(spark, path, TABLES[name], PARTITIONED_BY[name], held)
+    return rows.where(F.col("operatingDate").isin(list(days)))
 
 
 def read_if_present(spark: SparkSession, root: str, name: str) -> DataFrame | None:
@@ -38,52 +52,41 @@ def read_if_present(spark: SparkSession, root: str, name: str) -> DataFrame | No
         raise
 
 
-def _folder(spark: SparkSession, path: str):
-    """(file system, path) of Hadoop, which reaches every store that Spark reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def partition_values(spark: SparkSession, root: str, name: str, by: str) -> list[date]:
-    """Partitions of a table by the names of its folders: one listing, no file is opened."""
-    system, where = _folder(spark, table_path(root, name))
-    if not system.exists(where):
-        return []
-    names = [status.getPath().getName() for status in system.listStatus(where)]
+    """Partitions of a table by the names of its folders, or by its newest manifest: no data file is opened."""
+    path = table_path(root, name)
+    held = versions.current(spark, path) if name in VERSIONED else None
+    if held is not None:
+        return sorted(date.fromisoformat(v) for v in held)
     return sorted(
         date.fromisoformat(n.partition("=")[2])
-        for n in names
+        for n in names_in(spark, path)
         if n.startswith(f"{by}=") and not n.endswith("__HIVE_DEFAULT_PARTITION__")
     )
 
 
 def drop_partitions(spark: SparkSession, root: str, name: str, values: Iterable[date]) -> None:
     """Remove whole partitions, those that are there."""
+    path = table_path(root, name)
+    if name in VERSIONED and versions.current(spark, path) is not None:
+        number, _ = versions.staging(spark, path)
+        versions.exchange(spark, path, PARTITIONED_BY[name], number, values)
+        return
     for value in values:
-        path = f"{table_path(root, name)}/{PARTITIONED_BY[name]}={value.isoformat()}"
-        system, where = _folder(spark, path)
-        system.delete(where, True)
+        remove(spark, f"{path}/{PARTITIONED_BY[name]}={value.isoformat()}")
 
 
 def mark(spark: SparkSession, path: str) -> None:
     """An empty folder as a note; making it is one step of the file system."""
-    system, where = _folder(spark, path)
+    system, where = folder_at(spark, path)
     system.mkdirs(where)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    system, where = _folder(spark, path)
+    system, where = folder_at(spark, path)
     system.delete(where, True)
 
 
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of what lies in a folder; none if there is no such folder."""
-    system, where = _folder(spark, path)
-    if not system.exists(where):
-        return []
-    return sorted(status.getPath().getName() for status in system.listStatus(where))
-
-
 def daily_partitions(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The days of a table (column ``day``); none if the table does not exist."""
     return date_frame(spark, partition_values(spark, root, name, "operatingDate"))
@@ -123,10 +126,19 @@ def write_partitions(
     )
 
 
-def save_partitions(df: DataFrame, root: str, name: str, sort: Sequence[str] = ()) -> None:
-    write_partitions(
-        df.select(*TABLES[name].fieldNames()), table_path(root, name), PARTITIONED_BY[name], sort
-    )
+def save_partitions(
+    df: DataFrame, root: str, name: str, sort: Sequence[str] = (), replaced: Iterable[date] = ()
+) -> None:
+    """Write the partitions of ``df`` in place of their old ones. Tables in VERSIONED change in one step (see
+    ``versions``), in which those of ``replaced`` that have no rows any more go too."""
+    rows, path, by = df.select(*TABLES[name].fieldNames()), table_path(root, name), PARTITIONED_BY[name]
+    if name not in VERSIONED:
+        write_partitions(rows, path, by, sort)
+        return
+    spark = df.sparkSession
+    number, folder = versions.staging(spark, path)
+    write_partitions(rows, folder, by, sort)
+    versions.exchange(spark, path, by, number, replaced)
 
 
 def write_table(df: DataFrame, root: str, name: str) -> None:

@@ -76,14 +76,14 @@ def path_of(url: Column) -> Column:
 
 
 def rule_index(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(token, rank, pattern): every rule once, under the token that fewest URLs hold. Counts
-    are of the rules' tokens only, over all rows of ``urls(tokens)``."""
+    """(token, rank, pattern): every rule once, under the token that fewest URLs hold; rules without a token under the
+    empty one, which every URL fetches. Counts are of the rules' tokens only, over all rows of ``urls(tokens)``."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules; their table is broadcast")
     spark = urls.sparkSession
     ranked = sorted(rules, key=lambda r: (r.tier, len(r.name), r.name))
     listed = small_table(
-        spark, [(i, r.pattern, t) for i, r in enumerate(ranked) for t in r.tokens],
+        spark, [(i, r.pattern, t) for i, r in enumerate(ranked) for t in r.tokens or ("",)],
         "rank long, pattern string, token string",
     )
     tokens = F.broadcast(listed.select("token").distinct())
@@ -116,8 +116,9 @@ def judge_urls(
     urls = urls.agg(F.count(F.lit(1)).alias("_copies")).withColumn("tokens", tokens)
     # The empty token stands for the row itself, so rows without a rule stay.
     named = urls.withColumn("token", F.explode(F.array_append("tokens", F.lit("")))).drop("tokens")
-    tried = named.join(index, "token", "left").filter(
-        (F.col("token") == "") | F.rlike(F.concat("host", "path"), F.col("pattern"))
+    fits = F.rlike(F.concat("host", "path"), F.col("pattern"))
+    tried = named.join(index, "token", "left").withColumn("rank", F.when(fits, F.col("rank"))).filter(
+        (F.col("token") == "") | F.col("rank").isNotNull()
     )
     won = tried.groupBy("_id", "host", "path", "_task", "_copies").agg(F.max("rank").alias("rank"))
     ranked = sorted(rules, key=lambda r: (r.tier, len(r.name), r.name))

@@ -1,5 +1,6 @@
 """URL filter, quality rules, line dedup and exact dedup: SQL twins, brute force, odd rows."""
 
+import random
 import re
 
 import duckdb
@@ -218,3 +219,29 @@ def test_exact_empty(spark):
     nulls = spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string")
     assert [(r.keep_id, r.group_size) for r in exact_dedup.duplicate_groups(nulls).collect()] == [(None, 2)] * 2
     assert exact_dedup.exact_dedup(nulls).count() == 1
+
+
+def test_thousands_of_rules_with_shared_rare_and_no_tokens(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(60)]
+    rules = [
+        url_filter.Rule(f"{a} {b} {k}", rng.choice(("allow", "block")), f"^[^/]*{a}.*{b}", (a, b), rng.randrange(3))
+        for k, (a, b) in enumerate((rng.choice(names[:10]), rng.choice(names)) for _ in range(3000))
+    ]
+    rules += [
+        url_filter.Rule("digit host", "block", r"^[^/]*[0-9]", (), 1), url_filter.Rule("long", "block", r"^.{30,}", (), 9),
+    ]
+    urls = [f"http://{rng.choice(names)}.{rng.choice(names)}/{rng.choice(names)}/{rng.choice(names)}" for _ in range(150)]
+    urls += ["http://a1.net/", "http://zz/", None, "", "http://abc.def/" + "x" * 40]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    ranked = sorted(rules, key=lambda r: (r.tier, len(r.name), r.name))
+    want = {}
+    for i, url in enumerate(urls):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        text = m[1] + m[2] if m else ""
+        have = set(re.findall(url_filter.TOKEN, text))
+        fit = [r for r in ranked if re.search(r.pattern, text) and have.issuperset(r.tokens)]
+        want[i] = (fit[-1].name, fit[-1].verdict) if fit else (None, "allow")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules=rules).collect()}
+    assert got == want
+    assert got[150] == ("digit host", "block") and got[154] == ("long", "block")

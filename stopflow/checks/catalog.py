@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import label_number, line_number
 from ..operators import delays, directions, journeys, leg_stats as ls, leg_study, legs as leg_ops, serving
+from ..operators.ranking import file_ranges, may_hold, stored_positions, with_position
 from ..operators.skew import hot_groups
 from ..operators.visits import clean_arrivals
 from ..plans import etl
@@ -128,14 +129,21 @@ _LINES = (
     "try_cast(regexp_extract(lineRef, '[0-9]+$') AS BIGINT) AS number "
     "FROM (SELECT DISTINCT lineRef FROM legs WHERE dataSource = 'AAA')"
 )
-# The order itself is checked in tests; here the key it follows is part of the result.
-add("lines_for_datasource", "legs", "label:s lineRef:s number:i?",
-    lambda p: serving.lines_for_datasource(ls.datasource_lines(p.legs), "AAA").withColumn(
-        "number", line_number(F.col("lineRef"))), _LINES)
-add("lines_natural_order", "legs", "label:s lineRef:s number:i?",
-    lambda p: serving.natural_order(
-        serving.lines_for_datasource(ls.datasource_lines(p.legs), "AAA")).withColumn(
-        "number", label_number(F.col("label"))), _LINES)
+
+
+def _in_order(sql: str, order: str) -> str:
+    """The rows of a query and the place of each in an order."""
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS position FROM ({sql})"
+
+
+# The order is part of these results: ``position`` is the place at which a row was delivered.
+add("lines_for_datasource", "legs", "label:s lineRef:s number:i? position:i",
+    lambda p: with_position(serving.lines_for_datasource(ls.datasource_lines(p.legs), "AAA")).withColumn(
+        "number", line_number(F.col("lineRef"))), _in_order(_LINES, "number NULLS LAST, lineRef"))
+add("lines_natural_order", "legs", "label:s lineRef:s number:i? position:i",
+    lambda p: with_position(serving.natural_order(
+        serving.lines_for_datasource(ls.datasource_lines(p.legs), "AAA"))).withColumn(
+        "number", label_number(F.col("label"))), _in_order(_LINES, "number NULLS LAST, label"))
 add("months", "stats", "month:d", lambda p: serving.months(p.leg_stats),
     "SELECT DISTINCT month FROM leg_stats")
 add("months_old_enough", "stats", "month:d",
@@ -153,17 +161,20 @@ _CARD_SQL = (
     "0.985 * from_lon + 0.015 * to_lon AS lon, dataSource AS data_source, "
     "round(CAST(hourly_quartile AS DOUBLE) / monthly_duration, 1) AS rush_intensity FROM leg_stats "
 )
-add("leg_view", "stats", _CARD,
-    lambda p: serving.leg_view(p.leg_stats, p.stop_line, FEB, 7, "AAA"),
-    _CARD_SQL + "WHERE month = DATE '2024-02-01' AND hour = 7 AND dataSource = 'AAA'")
+_PLACED = "position:i "
+_RUSH = "rush_intensity NULLS FIRST, from_stop, to_stop, data_source"
+add("leg_view", "stats", _PLACED + _CARD,
+    lambda p: with_position(serving.leg_view(p.leg_stats, p.stop_line, FEB, 7, "AAA")),
+    _in_order(_CARD_SQL + "WHERE month = DATE '2024-02-01' AND hour = 7 AND dataSource = 'AAA'", _RUSH))
 add("leg_view_line", "stats", _CARD,
     lambda p: serving.leg_view(p.leg_stats, p.stop_line, JAN, 8, "AAA", LINE),
     _CARD_SQL + "WHERE month = DATE '2024-01-01' AND hour = 8 AND (dataSource, from_stop, to_stop) "
     f"IN (SELECT (dataSource, from_stop, to_stop) FROM stop_line WHERE lineRef = '{LINE}') "
     "AND dataSource = 'AAA'")
-add("hot_spots", "stats", _CARD, lambda p: serving.hot_spots(p.leg_stats, FEB, 7, 10),
-    _CARD_SQL + "WHERE month = DATE '2024-02-01' AND hour = 7 "
-    "ORDER BY rush_intensity DESC, from_stop, to_stop, dataSource LIMIT 10")
+add("hot_spots", "stats", _PLACED + _CARD,
+    lambda p: with_position(serving.hot_spots(p.leg_stats, FEB, 7, 10)),
+    _in_order(_CARD_SQL + "WHERE month = DATE '2024-02-01' AND hour = 7 "
+              "ORDER BY rush_intensity DESC, from_stop, to_stop, dataSource LIMIT 10", _RUSH))
 
 _CHANGE = (
     "name:s net_change_seconds:i net_change_proportion:i net_change_pct:i from_stop:s to_stop:s "
@@ -194,9 +205,10 @@ _CHANGE_SQL = (
     "AND p.dataSource = c.dataSource AND p.hour = c.hour "
     "WHERE p.month = DATE '2024-01-01' AND c.month = DATE '2024-02-01' AND c.hour = 7 "
 )
-add("comparisons", "stats", _CHANGE,
-    lambda p: serving.comparisons(p.leg_stats, p.stop_line, JAN, FEB, 7, limit=12),
-    _CHANGE_SQL + "ORDER BY abs_net_change_proportion DESC, c.from_stop, c.to_stop, c.dataSource LIMIT 12")
+add("comparisons", "stats", _PLACED + _CHANGE,
+    lambda p: with_position(serving.comparisons(p.leg_stats, p.stop_line, JAN, FEB, 7, limit=12)),
+    _in_order(_CHANGE_SQL + "ORDER BY abs_net_change_proportion DESC, c.from_stop, c.to_stop, c.dataSource LIMIT 12",
+              "abs_net_change_proportion NULLS FIRST, from_stop, to_stop, data_source"))
 add("comparisons_line", "stats", _CHANGE,
     lambda p: serving.comparisons(
         p.leg_stats, p.stop_line, JAN, FEB, 7, limit=3, source="AAA", line=LINE),
@@ -461,14 +473,14 @@ add("stop_stats", "study",
     f"min(now_lon) AS map_lon, {_flat_sql(_ALL3[1:])} FROM timed GROUP BY ALL HAVING count(*) >= 28")
 add("rush_factor", "study",
     "rush_factor:f actual_duration_hour:f actual_duration_month:f previous_stop_name:s stop_name:s "
-    "year:i month:i hour:i deviation_median:f deviation_p4:f",
-    lambda p: _flat(leg_study.rush_factor(p.far_study, min_count=40), ["deviation"]),
+    f"year:i month:i hour:i position:i {_flat_contract(['deviation'])}",
+    lambda p: _flat(with_position(leg_study.rush_factor(p.far_study, min_count=40)), ["deviation"]),
+    "SELECT *, row_number() OVER (ORDER BY rush_factor DESC, previous_stop_name, stop_name, year, month, hour) AS position FROM ("
     "SELECT round(hourly / monthly, 2) AS rush_factor, hourly AS actual_duration_hour, "
     "monthly AS actual_duration_month, * FROM (SELECT previous_stop_name, stop_name, year, month, hour, "
-    "quantile_disc(actual_duration, 0.75) AS hourly, median(deviation) AS deviation_median, "
-    "quantile_disc(deviation, 0.9) AS deviation_p4 FROM timed GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 40) "
-    "JOIN (SELECT previous_stop_name, stop_name, year, month, median(actual_duration) AS monthly FROM timed "
-    "GROUP BY 1, 2, 3, 4) USING (previous_stop_name, stop_name, year, month) WHERE monthly >= 60")
+    f"quantile_disc(actual_duration, 0.75) AS hourly, {_flat_sql(['deviation'])} FROM timed GROUP BY 1, 2, 3, 4, 5 "
+    "HAVING count(*) >= 40) JOIN (SELECT previous_stop_name, stop_name, year, month, median(actual_duration) AS monthly "
+    "FROM timed GROUP BY 1, 2, 3, 4) USING (previous_stop_name, stop_name, year, month) WHERE monthly >= 60)")
 
 # ---- journeys ------------------------------------------------------------------------
 
@@ -726,11 +738,30 @@ add("append_by_name_and_position", "arrivals", "dataSource:s lineRef:s", _append
 
 def _sorted(p: Projected) -> DataFrame:
     path = f"{scratch(p.spark)}/sorted"
-    tables.write_sorted(p.route_names, path, ["origin", "destination", "operatingDate"])
-    return p.spark.read.parquet(path)
+    tables.write_sorted(
+        p.route_names, path, ["origin", "destination", "operatingDate", "dataSource", "lineRef", "directionRef"])
+    return stored_positions(p.spark, path)
+
+
+add("sorted_export", "routes", _NAMES + " position:i", _sorted,
+    _in_order("SELECT * FROM route_name", "origin, destination, operatingDate, dataSource, lineRef, directionRef"))
+
+
+def _layout(p: Projected) -> DataFrame:
+    """What the clustering of the published statistics is worth: files that overlap, and files that one month, hour
+    and source may lie in, both against the number of files."""
+    path, cols = f"{scratch(p.spark)}/stats", ["month", "hour", "dataSource"]
+    tables.write_clustered(p.leg_stats, path, cols, ["from_stop", "to_stop"], files=6)
+    ranges = file_ranges(p.spark, path, cols)
+    one = may_hold(month=F.lit(FEB), hour=F.lit(7), dataSource=F.lit("BBB"))
+    return ranges.agg(
+        F.sum("rows").alias("rows"), (F.count(F.lit(1)) > 1).alias("several_files"),
+        (F.count_if("overlaps") == 0).alias("no_overlaps"), (F.count_if(one) <= 2).alias("few_files_read"),
+    )
 
 
-add("sorted_export", "routes", _NAMES, _sorted, "SELECT * FROM route_name")
+add("serving_layout", "stats", "rows:i several_files:b no_overlaps:b few_files_read:b", _layout,
+    "SELECT count(*) AS rows, count(*) > 1 AS several_files, true AS no_overlaps, true AS few_files_read FROM leg_stats")
 add("describe_legs", "legs", "col_name:s data_type:s filled:i", lambda p: tables.describe(p.legs),
     "SELECT name AS col_name, filled, CASE name WHEN 'operatingDate' THEN 'date' WHEN 'sequenceNr' THEN 'bigint' "
     "WHEN 'start_time' THEN 'timestamp' WHEN 'to_lat' THEN 'double' WHEN 'to_lon' THEN 'double' "

@@ -27,6 +27,8 @@ from .skew import HotGroups, bounded_broadcast, hot_groups, split_hot
 NAMED_PAIR = ["previous_stop_name", "stop_name"]
 #: A journey of so many visits is no journey.
 HOT_JOURNEY_ROWS = 200_000
+#: Legs of an hour from which on its distribution is shown.
+STRUCT_COUNT = 28
 
 
 def legs_by_selfjoin(
@@ -281,7 +283,7 @@ def _plausible(legs_distance: DataFrame, tz: str) -> DataFrame:
     )
 
 
-def leg_stats_struct(legs_distance: DataFrame, min_count: int = 28, tz: str = "UTC") -> DataFrame:
+def leg_stats_struct(legs_distance: DataFrame, min_count: int = STRUCT_COUNT, tz: str = "UTC") -> DataFrame:
     """Distribution of duration, delay and deviation per stop pair, year, month and hour."""
     lowest = lambda c: F.min(c)  # noqa: E731  any position of the pair; the lowest is stable
     return (
@@ -323,19 +325,19 @@ def stop_stats(legs_distance: DataFrame, min_count: int = 28, tz: str = "UTC") -
 
 def rush_factor(
     legs_distance: DataFrame,
-    stats: DataFrame | None = None,
     min_count: int = 200,
     min_month: float = 60,
     tz: str = "UTC",
 ) -> DataFrame:
-    """Upper quartile of an hour over the median of the month, largest first, with the
-    deviation figures of that hour (from ``stats``, see :func:`leg_stats_struct`)."""
-    rows = _plausible(legs_distance, tz)
+    """Upper quartile of an hour over the median of the month, largest first, with the distribution of the deviation
+    in that hour (of hours with STRUCT_COUNT legs at least, as in :func:`leg_stats_struct`). One aggregation an hour,
+    one a month."""
+    rows = _plausible(legs_distance, tz).where(" AND ".join(f"{c} IS NOT NULL" for c in NAMED_PAIR))
     by_hour = (
         rows.groupBy(*NAMED_PAIR, "year", "month", "hour")
-        .agg(quantile_disc("actual_duration", 0.75).alias("actual_duration_hour"),
+        .agg(quantile_disc("actual_duration", 0.75).alias("actual_duration_hour"), stats_struct("deviation"),
              F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_count)
+        .where(F.col("n") >= max(min_count, STRUCT_COUNT))
         .drop("n")
     )
     by_month = (
@@ -343,15 +345,8 @@ def rush_factor(
         .agg(F.median("actual_duration").alias("actual_duration_month"))
         .where(F.col("actual_duration_month") >= min_month)
     )
-    if stats is None:
-        stats = leg_stats_struct(legs_distance, tz=tz)
-    bundle = stats.select(
-        F.col("previous_stop").alias("previous_stop_name"), F.col("stop").alias("stop_name"),
-        "year", "month", "hour", "deviation_stats",
-    )
     return (
         by_hour.join(by_month, [*NAMED_PAIR, "year", "month"])
-        .join(bundle, [*NAMED_PAIR, "year", "month", "hour"])
         .select(
             F.round(F.try_divide("actual_duration_hour", "actual_duration_month"), 2)
             .alias("rush_factor"),

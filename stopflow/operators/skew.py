@@ -1,6 +1,6 @@
 """Helpers that keep a plan safe when one key holds a large part of all rows.
 
-* :func:`bounded_broadcast` broadcasts a side only after checking its row count.
+* :func:`bounded_broadcast` broadcasts a side only after checking its rows and bytes.
 * :func:`hot_groups` finds keys too large for one task with a mergeable top-k sketch: one
   scan, no shuffle of the keys, at most ``MAX_HOT`` entries on the driver.
 * :func:`with_neighbours` gives each row the values of the row before / after it in its
@@ -20,16 +20,55 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..sources.shared import shared_folder
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 128 << 20
+#: Files of so many bytes, however well compressed, need no count.
+SURELY_SMALL = 4 << 20
 HOT_ROWS = 2_000_000
 MAX_HOT = 50_000
 
 
-def bounded_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if ``side`` has at most ``max_rows`` rows; otherwise the side as it
-    is, for a shuffle join whose skewed partitions adaptive execution splits."""
-    if side.limit(max_rows + 1).count() <= max_rows:
+#: Nodes of a plan that may make many rows of one, which the optimizer's estimate does not see.
+_MULTIPLY = ("Generate", "MapIn", "FlatMap", "Expand")
+
+
+def planned_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of a side's size, from file sizes (for joins the product, hence far too large); None where
+    a node may multiply rows."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(node in plan.toString() for node in _MULTIPLY):
+        return None
+    return int(plan.stats().sizeInBytes())
+
+
+def _bytes_of(df: DataFrame) -> Column:
+    """Bytes of a row: the length of texts and binaries, the width of anything else."""
+    total = F.lit(0).cast("bigint")
+    for field in df.schema:
+        kind = field.dataType.simpleString()
+        c = F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.length(F.to_json(F.struct(c)))
+        else:
+            total = total + F.lit(8)
+    return total
+
+
+def bounded_broadcast(
+    side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``side`` to be broadcast if it is small, else as it is, for a shuffle join whose skewed partitions adaptive
+    execution splits. Small is what the files behind it already show, or else at most ``max_rows`` rows and
+    ``max_bytes`` by a count; for that the side is computed once and kept (checkpointed), so the join does not run
+    it again."""
+    planned = planned_bytes(side)
+    if planned is not None and planned <= min(SURELY_SMALL, max_bytes):
         return F.broadcast(side)
-    return side
+    use_checkpoint_dir(side.sparkSession)
+    held = side.limit(max_rows + 1).checkpoint()
+    rows, size = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(_bytes_of(held)), F.lit(0))).first()
+    return F.broadcast(held) if rows <= max_rows and size <= max_bytes else side
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:

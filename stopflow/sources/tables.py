@@ -150,10 +150,14 @@ def write_sorted(df: DataFrame, path: str, cols: Sequence[str]) -> None:
     df.orderBy(*cols).write.mode("overwrite").parquet(path)
 
 
-def write_clustered(df: DataFrame, path: str, cols: Sequence[str], spread: Sequence[str] = ()) -> None:
+def write_clustered(
+    df: DataFrame, path: str, cols: Sequence[str], spread: Sequence[str] = (), files: int | None = None
+) -> None:
     """Files clustered by ``cols``, so that readers skip row groups by their min/max. The
-    ``spread`` columns only break up values of ``cols`` that fill more than one file."""
-    df.repartitionByRange(*cols, *spread).sortWithinPartitions(*cols, *spread).write.mode(
+    ``spread`` columns only break up values of ``cols`` that fill more than one file. ``files`` fixes the number of
+    files at most; by default adaptive execution sizes them."""
+    count = () if files is None else (files,)
+    df.repartitionByRange(*count, *cols, *spread).sortWithinPartitions(*cols, *spread).write.mode(
         "overwrite"
     ).parquet(path)
 

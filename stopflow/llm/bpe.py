@@ -6,8 +6,8 @@ Decoding concatenates vocabulary strings. The text rules (normalisation, splitti
 characters, word ends) are read from the vocabulary file.
 
 White space never takes part in a token, so the ids of a text are those of its pieces between
-ASCII white space, one after the other; each Python worker remembers pieces (at most
-MEMO pieces, then it starts anew), which changes only the speed.
+ASCII white space, one after the other; each Python worker remembers pieces and words within bounds
+(see ``tokens``), which changes only the speed.
 
 Defined results: a NULL text is empty and has no ids; strings of special tokens in a text are those
 tokens, as in the library's default; every row is encoded for itself, so nulls in other
@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,10 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MEMO = 300_000
-#: Up to here (Latin Extended-B) all code points have been assigned for long.
-LATIN_END = "\u024f"
-ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+from .tokens import LATIN_END, MEMO, WORDS, Memo, encode_pieces, gather, slices
 
 
 def byte_characters() -> list[str]:
@@ -70,8 +66,8 @@ class WordBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self._merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
-        self._words: dict[str, list[int]] = {}
-        self._memo = _Memo(self._chunk_bytes)
+        self._find = regex.compile(r"\n|" + pattern, regex.V1).findall
+        self._memo, self._words = Memo(MEMO), Memo(WORDS)
 
     def _word(self, word: str) -> list[int]:
         data = word.encode()
@@ -124,69 +120,39 @@ class WordBpe:
         back = self._bytes
         return [bytes(back[c] for c in piece).decode() for piece, _ in pieces]
 
-    def _chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        words = self._words
-        for word in self._split(chunk):
-            ids = words.get(word)
-            if ids is None:
-                if len(words) >= MEMO:
-                    words.clear()
-                ids = self._word(word)
-                if len(word) < 64:
-                    words[word] = ids
-            out += ids
-        return out
-
-    def _chunk_bytes(self, chunk: str) -> bytes:
-        return np.array(self._chunk(chunk), "<u4").tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self._memo.__getitem__, ASCII_SPACE.split(text)))
-
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if "<|" not in text:
-            return self._plain(text)
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        return [b"" if w == "\n" else np.array(self._word(w), "<u4").tobytes() for w in words]
+
+    def _odd(self, piece: str) -> bytes:
+        """A piece with strings of special tokens or letters beyond LATIN_END."""
         out = []
-        for part in self._specials.split(text):
+        for part in self._specials.split(piece):
             i = self.special.get(part)
-            out.append(self._plain(part) if i is None else i.to_bytes(4, "little"))
+            words = self._split(part) if i is None else []
+            out += [i.to_bytes(4, "little")] if i is not None else self._encode_words(words)
         return b"".join(out)
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        return encode_pieces(pieces, self._find, self._words, self._encode_words, lambda odd: list(map(self._odd, odd)))
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, n + 1 offsets)."""
+        return gather(texts, self._memo, self._encode_pieces)
+
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return self.encode_batch(pa.array([text]))[0].tolist()
 
     def decode_bytes(self, ids: bytes) -> bytes:
         """The vocabulary strings with a space between, in UTF-8."""
         return b" ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Memo(dict):
-    """Remembers a function of short strings; starts anew when it holds MEMO of them."""
-
-    def __init__(self, function):
-        super().__init__()
-        self.function = function
-
-    def __missing__(self, key):
-        value = self.function(key)
-        if len(key) < 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = value
-        return value
-
-
 @lru_cache(maxsize=4)
 def load(path: str) -> WordBpe:
     """One encoder for each Python worker."""
     return WordBpe(path)
 
 
-SLICE = 64  # documents that leave Python together; bounds the memory of decoded texts
-
-
 def encode_documents(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -196,9 +162,10 @@ def encode_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids = [model.encode_bytes(text or "") for text in part.column(1).to_pylist()]
+            for part in slices(batch, 1):
+                flat, bounds = model.encode_batch(part.column(1))
+                cuts = bounds.tolist()
+                ids = [flat[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
                 decoded = [model.decode_bytes(x).decode() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],

@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .bpe import LATIN_END
-
+#: Up to here (Latin Extended-B) all code points have been assigned for long.
+LATIN_END = "\u024f"
 #: Pieces of text and words that a Python worker remembers, in each of two generations (some 200 bytes each).
 MEMO = 400_000
 WORDS = 350_000
@@ -92,6 +92,31 @@ def gather(texts: pa.Array, memo: Memo, make: Callable[[list[str]], list[bytes]]
     return ids, np.concatenate([[0], ends])[bounds]
 
 
+def encode_pieces(
+    pieces: list[str], find: Callable[[str], list[str]], memo: Memo,
+    encode_words: Callable[[list[str]], list[bytes]], encode_odd: Callable[[list[str]], list[bytes]],
+) -> list[bytes]:
+    """The ids of each piece. All are normalised and split at once by ``find``, which must also find line ends: one
+    follows each piece, and it must have no ids as a word. Pieces with strings of special tokens or letters beyond
+    LATIN_END go to ``encode_odd`` whole."""
+    out = [b""] * len(pieces)
+    strange = [at for at, p in enumerate(pieces) if "<|" in p or not p.isascii() and max(p) > LATIN_END]
+    for at, data in zip(strange, encode_odd([pieces[at] for at in strange])):
+        out[at] = data
+    skip = set(strange)
+    plain = [at for at in range(len(pieces)) if at not in skip] if skip else range(len(pieces))
+    text = "".join([pieces[at] + "\n" for at in plain])
+    coded = pa.array(find(unicodedata.normalize("NFC", text).lower()), pa.string()).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    ids, ends = spread(codes, memo.values(words, encode_words))
+    if plain:
+        data, cut = ids.tobytes(), (4 * ends[codes == words.index("\n")]).tolist()
+        for at, i, j in zip(plain, [0, *cut], cut):
+            out[at] = data[i:j]
+    return out
+
+
 class Tokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -139,23 +164,7 @@ class Tokenizer:
         return list(map(known.__getitem__, words))
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        out = [b""] * len(pieces)
-        strange = [at for at, p in enumerate(pieces) if "<|" in p or not p.isascii() and max(p) > LATIN_END]
-        for at, data in zip(strange, self._one_by_one([pieces[at] for at in strange])):
-            out[at] = data
-        skip = set(strange)
-        plain = [at for at in range(len(pieces)) if at not in skip] if skip else range(len(pieces))
-        # All pieces are split at once; a line end follows each and is a word without ids.
-        text = "".join([pieces[at] + "\n" for at in plain])
-        coded = pa.array(self._find(unicodedata.normalize("NFC", text).lower()), pa.string()).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        ids, ends = spread(codes, self._words.values(words, self._encode_words))
-        if plain:
-            data, cut = ids.tobytes(), (4 * ends[codes == words.index("\n")]).tolist()
-            for at, i, j in zip(plain, [0, *cut], cut):
-                out[at] = data[i:j]
-        return out
+        return encode_pieces(pieces, self._find, self._words, self._encode_words, self._one_by_one)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, n + 1 offsets)."""

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -31,12 +32,12 @@ def test_bpe_equals_library(library):
     model = bpe.WordBpe(vocabulary())
     rng = random.Random(5)
     letters = "abcdeéüßñ '’.-#%09ΑΣ́中\U0001f680"
-    texts = ODD + ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(3000)]
+    texts = ODD + ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(1000)]
     for text in texts:
         ids = library.encode(text, add_special_tokens=False).ids
         assert model.encode(text) == ids, text[:50]
         decoded = library.decode(ids, skip_special_tokens=False)
-        assert model.decode_bytes(model.encode_bytes(text)).decode() == decoded
+        assert model.decode_bytes(np.array(model.encode(text), "<u4").tobytes()).decode() == decoded
 
 
 def test_every_code_point_equals_library(library):
@@ -45,7 +46,8 @@ def test_every_code_point_equals_library(library):
     for at in range(0, len(points), 4096):
         texts = ["aB" + chr(c) + "c1" + chr(c) for c in points[at : at + 4096]]
         found = library.encode_batch(texts, add_special_tokens=False)
-        assert [model.encode(t) for t in texts] == [e.ids for e in found]
+        ids, bounds = model.encode_batch(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [e.ids for e in found]
 
 
 def test_bpe_query(spark, library):

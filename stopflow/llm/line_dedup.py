@@ -31,8 +31,8 @@ def _digest(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
-def _selected(digests: Column, min_lines: int, gram: int) -> Column:
-    """Array of the winnowed gram positions of one document."""
+def _picks(digests: Column, min_lines: int, gram: int) -> Column:
+    """The winnowed gram of each window of one document, as (hash, minus position)."""
     n = F.size(digests)
     width = min_lines - gram + 1
 
@@ -45,7 +45,7 @@ def _selected(digests: Column, min_lines: int, gram: int) -> Column:
         return F.array_min(F.array(*[hashed(start + k) for k in range(width)]))
 
     starts = F.sequence(F.lit(0), n - min_lines)
-    return F.when(n >= min_lines, F.array_distinct(F.transform(starts, smallest)))
+    return F.when(n >= min_lines, F.transform(starts, smallest))
 
 
 def repeated_lines(
@@ -65,26 +65,31 @@ def repeated_lines(
         ).filter(F.size("lines") >= min_lines),
         "lines",
     )
-    places = lined.select(
-        "*", F.explode(_selected(F.col("lines"), min_lines, gram)).alias("f")
-    ).select("id", "text_digest", "lines", F.col("f.h").alias("h"), (-F.col("f.p")).alias("at"))
-    repeated = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # Picks move forward only, so equal ones are neighbours.
+    picked = lined.withColumn("picks", _picks(F.col("lines"), min_lines, gram))
+    once = F.filter(
+        "picks", lambda f, i: (i == 0) | (f["p"] != F.get(F.col("picks"), i - 1)["p"])
+    )
     # Every run of min_lines lines around a fingerprint, as far as the document goes.
     reach = min_lines - gram
-    starts = F.filter(
-        F.sequence(F.col("at") - reach, F.col("at")),
-        lambda s: (s >= 0) & (s + min_lines <= F.size("lines")),
-    )
-    near = places.select(
-        "id", "text_digest", "h",
-        F.transform(
+
+    def around(f: Column) -> Column:
+        starts = F.filter(
+            F.sequence(-f["p"] - reach, -f["p"]), lambda s: (s >= 0) & (s + min_lines <= F.size("lines"))
+        )
+        return F.transform(
             starts,
             lambda s: F.struct(
                 s.alias("at"),
                 _digest(*[F.get("lines", s + k) for k in range(min_lines)]).alias("run"),
             ),
-        ).alias("runs"),
+        )
+
+    near = picked.select(
+        "id", "text_digest",
+        F.inline(F.transform(once, lambda f: F.struct(f["h"].alias("h"), around(f).alias("runs")))),
     )
+    repeated = near.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     runs = (
         near.join(repeated, "h", "left_semi")
         .select("id", "text_digest", F.inline("runs"))
@@ -128,7 +133,16 @@ def dedup_lines(
         F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _has_word(F.get("_lines", i))),
     )
     step = step.withColumn("_gone", F.transform("_doomed", lambda k: F.get("_numbers", k)))
-    kept = F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    # What lies between the lines that go.
+    step = step.withColumn(
+        "_cuts", F.concat(F.array(F.lit(-1)), F.sort_array("_gone"), F.array(F.size("_lines")))
+    )
+    cuts = F.col("_cuts")
+    between = F.transform(
+        F.sequence(F.lit(0), F.size(cuts) - 2),
+        lambda k: F.slice("_lines", F.get(cuts, k) + 2, F.get(cuts, k + 1) - F.get(cuts, k) - 1),
+    )
+    kept = F.array_join(F.flatten(between), "\n")
     changed = F.col("_gone").isNotNull()
     own = [
         F.when(changed, kept).otherwise(F.col(f"_row.`{c}`")).alias(c)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -245,3 +246,15 @@ def test_thousands_of_rules_with_shared_rare_and_no_tokens(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules=rules).collect()}
     assert got == want
     assert got[150] == ("digit host", "block") and got[154] == ("long", "block")
+
+
+def test_lines_of_long_documents_cost_in_proportion(spark):
+    lines = [f"line {k} of a very long document" for k in range(40_000)]
+    lines[30_000:30_010] = lines[5:15]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[100:20_100]) + "\nnew\n\nend")], "doc_id long, text string")
+    started = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - started < 60
+    assert (got[1].n_lines, got[1].n_removed) == (40_000, 10)
+    assert (got[2].n_removed, got[2].text) == (20_000, "new\n\nend")
+    assert got[1].text == "\n".join(lines[:30_000] + lines[30_010:])

@@ -16,6 +16,10 @@ Inside a block of one task, windows that repeat are settled at once and of equal
 first is dealt out, so what meets in a bucket is at most one copy for each block, however
 often a passage occurs. Blocks hold about BLOCK_WORDS words; a longer document is a block of its own.
 
+Anchors of very many different factors (a phrase shorter than a window in a third of all documents) would still
+gather one factor for each document in a bucket. They are found in a sample of the documents; their factors are split
+into windows, each filed under itself, so they spread over all buckets. Which anchors are split changes no result.
+
 Windows are equal when the 64-bit hash of their anchor, its offset and KEPT_BYTES bytes of their
 own 64-bit hash are equal.
 
@@ -39,6 +43,8 @@ GRAM = 12
 BLOCK_WORDS = 1_000_000
 BUCKETS_PER_PARTITION = 2
 KEPT_BYTES = 5
+#: An anchor with so many different factors among so many sampled documents is split.
+SAMPLE_DOCS, HOT_FACTORS = 50_000, 20
 MEMO = 400_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2 ** 64
@@ -173,9 +179,10 @@ SPANS = "k1 long, k2 long, starts binary, ends binary"
 
 
 def parse_block(
-    keys: np.ndarray, sequences: list[np.ndarray], buckets: int, window: int, gram: int
+    keys: np.ndarray, sequences: list[np.ndarray], buckets: int, window: int, gram: int, hot: np.ndarray
 ) -> Iterator[tuple]:
-    """PACKED rows of one block; ``keys`` are two 64-bit integers for each document."""
+    """PACKED rows of one block; ``keys`` are two 64-bit integers for each document. Factors whose anchors are ``hot`` are
+    split: each window becomes a factor of its own, filed under itself."""
     f = Factors(sequences, window, gram)
     if f.empty:
         return
@@ -188,19 +195,39 @@ def parse_block(
                 int(keys[doc, 1] % buckets), keys[doc].tobytes(), bytes(4 * len(lo)),
                 lo.astype("<u4").tobytes(), (hi - lo).astype("<u4").tobytes(), b"", b"", b"", b"",
             )
-    keep = np.unique(f.whole, return_index=True)[1]
-    bucket = (f.anchor[keep] % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((keep, bucket))
-    keep, bucket = keep[order], bucket[order]
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    crowded = np.isin(f.anchor, hot)
+    plain = np.flatnonzero(~crowded)
+    keep = plain[np.unique(f.whole[plain], return_index=True)[1]]
+    yield from _packed(
+        keys, buckets, f.doc[keep], f.first[keep], f.size[keep], f.offset[keep], f.anchor[keep], f.whole[keep],
+        f.windows, f.at[keep],
+    )
+    split = np.flatnonzero(crowded)
+    places = _numbers(f.at[split], f.size[split])
+    owner = np.repeat(split, f.size[split])
+    name, once = np.unique(_mixed(f.windows[places] ^ _mixed(f.anchor[owner])), return_index=True)
+    owner, places = owner[once], places[once]
+    one, none = np.ones(len(once), np.int64), np.zeros(len(once), np.int64)
+    yield from _packed(
+        keys, buckets, f.doc[owner], f.first[owner] + places - f.at[owner], one, none, name, name, f.windows, places
+    )
+
+
+def _packed(keys, buckets, doc, first, size, offset, anchor, whole, windows, at) -> Iterator[tuple]:
+    """PACKED rows, one for each bucket, of factors given by their columns; the windows of each begin at ``at``."""
+    if not len(doc):
+        return
+    bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
     for lo, hi in zip(edges[:-1], edges[1:]):
-        some = keep[lo:hi]
-        used, local = np.unique(f.doc[some], return_inverse=True)
-        hashes = f.windows[_numbers(f.at[some], f.size[some])]
+        some = order[lo:hi]
+        used, local = np.unique(doc[some], return_inverse=True)
+        hashes = windows[_numbers(at[some], size[some])]
         yield (
-            int(bucket[lo]), keys[used].tobytes(), local.astype("<u4").tobytes(),
-            f.first[some].astype("<u4").tobytes(), f.size[some].astype("<u4").tobytes(),
-            f.offset[some].astype("u1").tobytes(), f.anchor[some].tobytes(), f.whole[some].tobytes(),
+            int(bucket[some[0]]), keys[used].tobytes(), local.astype("<u4").tobytes(),
+            first[some].astype("<u4").tobytes(), size[some].astype("<u4").tobytes(),
+            offset[some].astype("u1").tobytes(), anchor[some].tobytes(), whole[some].tobytes(),
             hashes.view("u1").reshape(-1, 8)[:, 8 - KEPT_BYTES :].tobytes(),
         )
 
@@ -271,6 +298,33 @@ def _arrow(columns: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, columns.split(", "))])
 
 
+# ---- anchors of very many factors ----
+
+def hot_anchors(keyed: DataFrame, window: int, gram: int, sample: int = SAMPLE_DOCS, least: int = HOT_FACTORS) -> np.ndarray:
+    """Anchors that ``least`` different factors or more have in a sample of some ``sample`` documents. The list only says
+    which factors are split, not what is found; the sample bounds it."""
+    n = keyed.count()
+    if not n:
+        return np.zeros(0, np.uint64)
+
+    def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [word_list(t) for t in batch.column(0).to_pylist()]
+            sequences = [np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w)) for w in words if len(w) >= window]
+            f = Factors(sequences, window, gram)
+            if not f.empty:
+                keep = np.unique(f.whole, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(f.anchor[keep].view("<i8")), pa.array(f.whole[keep].view("<i8"))], names=["anchor", "whole"]
+                )
+
+    found = (
+        keyed.sample(min(1.0, sample / n), seed=1).select(keyed.columns[-1]).mapInArrow(factors, "anchor long, whole long")
+        .groupBy("anchor").agg(F.approx_count_distinct("whole").alias("n")).filter(F.col("n") >= least).select("anchor")
+    )
+    return np.array([r.anchor for r in found.collect()], np.int64).view(np.uint64)
+
+
 # ---- the operator ----------------------------------------------------------------------------
 
 def duplicate_windows(
@@ -288,7 +342,7 @@ def duplicate_windows(
 
         def block() -> Iterator[pa.RecordBatch]:
             rows, weight = [], 0
-            for row in parse_block(np.array(keys, np.int64), sequences, n, window, gram):
+            for row in parse_block(np.array(keys, np.int64), sequences, n, window, gram, hot):
                 rows.append(row)
                 weight += len(row[8])
                 if weight > 4_000_000:
@@ -318,9 +372,10 @@ def duplicate_windows(
     keyed = docs.select(
         F.xxhash64(f"`{id_col}`").alias("k1"), F.xxhash64(f"`{text_col}`").alias("k2"), f"`{text_col}`"
     )
+    hot = hot_anchors(keyed, window, gram)
     return (
         keyed.mapInArrow(parse, PACKED)
-        .groupBy("bucket").applyInArrow(match, SPANS)
+        .groupBy("bucket").applyInArrow(match, SPANS).distinct()
         .groupBy("k1", "k2").agg(F.collect_list(F.struct("starts", "ends")).alias("spans"))
     )
 

@@ -131,15 +131,18 @@ def test_substrings(spark, corpus, window, gram, parts):
         assert sum(s["end"] - s["start"] for s in r.removed) == n_removed
 
 
-def test_substrings_in_small_blocks(spark, corpus):
-    """Blocks are a matter of memory only: parse in blocks of a few documents, match by hand."""
+@pytest.mark.parametrize("share", [0, 1, 0.5])
+def test_substrings_in_small_blocks(spark, corpus, share):
+    """Blocks and split anchors are a matter of memory only: parse in blocks of a few documents, match by hand."""
     keys = [(i, -i) for i in range(len(corpus))]
     hashes = [
         np.array([substring_dedup._hashes[w] for w in substring_dedup.word_list(t)], np.uint64) for t in corpus
     ]
+    anchors = np.unique(substring_dedup.Factors([h for h in hashes if len(h) >= 35], 35, 12).anchor)
+    hot = anchors[: int(share * len(anchors))]
     buckets = {}
     for at in range(0, len(corpus), 5):
-        rows = substring_dedup.parse_block(np.array(keys[at : at + 5]), hashes[at : at + 5], 3, 35, 12)
+        rows = substring_dedup.parse_block(np.array(keys[at : at + 5]), hashes[at : at + 5], 3, 35, 12, hot)
         for row in rows:
             names = substring_dedup._arrow(substring_dedup.PACKED).names
             buckets.setdefault(row[0], []).append(dict(zip(names, row)))
@@ -163,3 +166,26 @@ def test_substrings_odd_rows(spark):
     want = sorted((i or 0, *w) for (i, _), w in zip(rows, brute.windows_removed([t for _, t in rows])))
     assert got == want
     assert substring_dedup.remove_substrings(docs.limit(0)).count() == 0
+
+
+def test_a_short_phrase_of_all_documents_spreads_over_buckets(spark):
+    """No window repeats, but all documents share an anchor."""
+    rng = random.Random(6)
+    phrase = [f"common{k}" for k in range(20)]
+    texts = [
+        " ".join([f"a{rng.random()}" for _ in range(30)] + phrase + [f"b{rng.random()}" for _ in range(30)])
+        for _ in range(120)
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    keyed = docs.select("text")
+    hot = substring_dedup.hot_anchors(keyed, 35, 12)
+    assert 0 < len(hot) <= 20
+    sequences = [np.array([substring_dedup._hashes[w] for w in substring_dedup.word_list(t)], np.uint64) for t in texts]
+    keys = np.array([(i, i) for i in range(len(texts))])
+
+    def largest(anchors):
+        rows = substring_dedup.parse_block(keys, sequences, 400, 35, 12, anchors)
+        return max(len(r[8]) for r in rows)
+
+    assert largest(hot) < largest(np.zeros(0, np.uint64)) / 3
+    assert sum(r.n_removed for r in substring_dedup.remove_substrings(docs).collect()) == 0

@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or under
-    the warehouse where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    )
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``. Local sessions without that setting
+    (tests) use the warehouse; a cluster must name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/stopflow-{name}-{uuid.uuid4().hex}"
 
 

@@ -63,7 +63,7 @@ def bounded_broadcast(
     ``max_bytes`` by a count; for that the side is computed once and kept (checkpointed), so the join does not run
     it again."""
     planned = planned_bytes(side)
-    if planned is not None and planned <= min(SURELY_SMALL, max_bytes):
+    if planned is not None and planned <= min(SURELY_SMALL, max_bytes, 8 * max_rows):
         return F.broadcast(side)
     use_checkpoint_dir(side.sparkSession)
     held = side.limit(max_rows + 1).checkpoint()

@@ -55,7 +55,8 @@ def test_broadcast_is_bounded_by_rows_and_bytes_and_runs_once(spark):
     before = seen.value
     assert hint(small) and spark.range(10).join(small, "id").count() == 10
     assert seen.value == before  # kept from the count
-    assert hint(bounded_broadcast(spark.range(10), 1))  # by its planned size alone
+    assert hint(bounded_broadcast(spark.range(10), 10))  # by its planned size alone
+    assert not hint(bounded_broadcast(spark.range(10), 9))
     wide = spark.range(400_000).select("id", F.repeat(F.lit("x"), 100).alias("text"), F.array("id").alias("a"))
     assert not hint(bounded_broadcast(wide, 1000)) and bounded_broadcast(wide, 1000) is wide
     assert not hint(bounded_broadcast(wide, 10**6, 10**6))

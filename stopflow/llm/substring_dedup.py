@@ -191,8 +191,8 @@ def parse_block(
         owner = np.repeat(np.arange(len(f.size)), f.size)[repeated]
         start = f.first[owner] + repeated - f.at[owner]
         for doc, lo, hi in spans_by_document(f.doc[owner], start, start + 1):
-            yield (
-                int(keys[doc, 1] % buckets), keys[doc].tobytes(), bytes(4 * len(lo)),
+            yield (  # settled, so any bucket will do: copies of one text are spread
+                int((keys[doc, 0] + doc) % buckets), keys[doc].tobytes(), bytes(4 * len(lo)),
                 lo.astype("<u4").tobytes(), (hi - lo).astype("<u4").tobytes(), b"", b"", b"", b"",
             )
     crowded = np.isin(f.anchor, hot)

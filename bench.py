@@ -22,9 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from stopflow.operators import delays, journeys, leg_study, serving  # noqa: E402
 from stopflow.operators.leg_stats import leg_stats  # noqa: E402
-from stopflow.operators.skew import hot_groups  # noqa: E402
 from stopflow.plans import etl  # noqa: E402
-from stopflow.schemas import JOURNEY  # noqa: E402
 from stopflow.sources.tables import daily_partitions, dates, read_table  # noqa: E402
 from stopflow.sources.testdata import Projected  # noqa: E402
 
@@ -77,7 +75,9 @@ def main() -> None:
     def study() -> DataFrame:
         return spark.read.parquet(legs_path)
 
-    hot = hot_groups(visits, JOURNEY)
+    def distances() -> DataFrame:
+        return spark.read.parquet(f"{root}/distances")
+
     runs = {
         "batch_visits_to_legs": batch,
         "leg_stats": lambda: sink(leg_stats(table("legs"))),
@@ -86,6 +86,7 @@ def main() -> None:
             etl.build_leg_stats(spark, root, [jan, feb]),
             etl.publish(spark, root),
         ),
+        "run_without_news": lambda: etl.run(spark, root),
         "hot_spots": lambda: serving.hot_spots(served("leg_stats"), feb, 7).collect(),
         "leg_view": lambda: serving.leg_view(
             served("leg_stats"), served("stop_line"), feb, 7, "AAA").collect(),
@@ -95,14 +96,14 @@ def main() -> None:
         "count_by_hour": lambda: delays.count_by(
             visits, delays.local_hour(F.col("recordedAtTime")), "hour").collect(),
         "busiest_stops": lambda: delays.busiest_stops(visits).collect(),
-        "lead_gap_stats": lambda: delays.lead_gap_stats(visits, hot).collect(),
+        "lead_gap_stats": lambda: delays.lead_gap_stats(visits).collect(),
         "successor_self_join": lambda: leg_study.legs_by_selfjoin(visits)
         .write.mode("overwrite").parquet(legs_path),
-        "legs_with_distance": lambda: sink(leg_study.legs_with_distance(
-            study(), leg_study.pair_distances(study(), quays))),
+        "pair_distances": lambda: leg_study.pair_distances(study(), quays)
+        .write.mode("overwrite").parquet(f"{root}/distances"),
+        "legs_with_distance": lambda: sink(leg_study.legs_with_distance(study(), distances())),
         "worst_legs": lambda: leg_study.worst_legs(study(), 100).collect(),
-        "rush_factor": lambda: sink(leg_study.rush_factor(leg_study.legs_with_distance(
-            study(), leg_study.pair_distances(study(), quays)))),
+        "rush_factor": lambda: sink(leg_study.rush_factor(leg_study.legs_with_distance(study(), distances()))),
         "delay_quantiles": lambda: sink(journeys.delay_quantiles(visits)),
         "stop_order": lambda: sink(journeys.stop_order(visits)),
     }

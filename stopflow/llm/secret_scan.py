@@ -6,13 +6,20 @@ alphabet that holds it, and three tests ask whether it could be uniform over tha
 chi-squared over equal bins, runs above and below the middle, and serial correlation. The
 smallest of the three p-values, times three, is the candidate's p-value.
 
+Names, slugs and paths may pass these tests where they are alone in their stratum. They are told by a likelihood
+ratio: a bigram model of letters, digits and separators, counted over the ordinary words of all documents (runs
+shorter than a candidate), against the uniform one of the encoding. A candidate that the words explain better
+than chance is no candidate. The model leans on the uniform one by WEIGHT pairs for each symbol, so a corpus
+without words refuses nothing.
+
 Short strings of ordinary text pass such tests more easily than long ones, so the level is set for each
 (encoding, length class) from all documents: p-values of random strings are uniform, so of those that pass a
 level a known share lies in the upper half of what is left, while other strings crowd just above the
 level. A level is refused where so few lie in that half that, with at most RATE of others among
 them, the chance is below DOUBT. The smallest level not refused (LEAST at least) is taken. A lone
 candidate refuses nothing, so a rare key is found by itself, whatever other documents hold; and what
-crowds together is refused above one half as well as below. The counts are a histogram of fixed size.
+crowds together is refused above one half as well as below. Both sets of counts, pairs of symbols and p-values,
+are of fixed size.
 
 Defined results: a NULL text is empty; rows are judged one by one, so NULL or repeated ids
 need no rule; an empty table gives an empty result.
@@ -55,6 +62,10 @@ ALPHABETS = {
 RATE, LEAST = 0.05, 0.01
 BINS = 100
 DOUBT = 0.01
+#: Pairs of the uniform model that stand behind each symbol of the bigram model.
+WEIGHT = 37.0
+SYMBOLS = _LOWER + _DIGITS  # letters of either case, digits; then the separator, then what takes no part
+_SEPARATOR, _OTHER = len(SYMBOLS), len(SYMBOLS) + 1
 HIGHEST = 90  # levels end here; the bins above are too few to be halved
 
 
@@ -116,8 +127,86 @@ def randomness(token: str) -> tuple[str, float] | None:
     return encoding, min(1.0, 3 * min(tests))
 
 
-def candidates(text: str, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, int, float]]:
-    """(start, end, encoding, length class, p) of candidates that overlap no known span."""
+def _symbol_table() -> np.ndarray:
+    table = np.full(256, _SEPARATOR, np.int64)
+    table[128:] = _OTHER
+    for k, c in enumerate(SYMBOLS):
+        table[ord(c)] = table[ord(c.upper())] = k
+    return table
+
+
+_SYMBOL = _symbol_table()
+_TOKEN = np.zeros(256, bool)
+_TOKEN[[ord(c) for c in _LOWER + _LOWER.upper() + _DIGITS + "+/_-"]] = True
+LEAST_LENGTH = 20
+
+
+def pair_counts(text: str) -> np.ndarray:
+    """Counts of neighbouring symbols outside runs that are long enough for a candidate."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    size = _SEPARATOR + 1
+    if not len(raw):
+        return np.zeros(size * size, np.int64)
+    symbol = _SYMBOL[raw]
+    ends = np.flatnonzero(~_TOKEN[raw])
+    ends = np.concatenate([[-1], ends, [len(raw)]])
+    gaps = np.diff(ends) - 1
+    for k in np.flatnonzero(gaps >= LEAST_LENGTH):
+        symbol[ends[k] + 1 : ends[k + 1]] = _OTHER
+    symbol = np.concatenate([[_SEPARATOR], symbol])
+    left, right = symbol[:-1], symbol[1:]
+    both = (left != _OTHER) & (right != _OTHER)
+    return np.bincount(left[both] * size + right[both], minlength=size * size)
+
+
+def word_model(docs: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
+    """For each encoding the logarithms of uniform over bigram chances, by (symbol, next symbol)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((_SEPARATOR + 1) ** 2, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    total += pair_counts(text)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["pair", "n"]
+        )
+
+    rows = (
+        docs.select(f"`{text_col}`").mapInArrow(count, "pair long, n long")
+        .groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    )
+    counts = np.zeros((_SEPARATOR + 1) ** 2)
+    for row in rows:
+        counts[row.pair] = row.n
+    return ratios(counts.reshape(_SEPARATOR + 1, -1))
+
+
+def ratios(counts: np.ndarray) -> dict[str, np.ndarray]:
+    out = {}
+    for name, alphabet in ALPHABETS.items():
+        symbols = _SYMBOL[np.frombuffer(alphabet.encode(), np.uint8)]
+        uniform = np.bincount(symbols, minlength=_SEPARATOR + 1) / len(alphabet)
+        # What the alphabet lacks takes no part, so its counts go too.
+        known = counts * (uniform > 0)
+        bigram = (known + WEIGHT * uniform) / (known.sum(axis=1, keepdims=True) + WEIGHT)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[name] = np.where(uniform > 0, np.log(uniform) - np.log(bigram), 0.0)
+    return out
+
+
+def chance_over_words(token: str, ratio: np.ndarray) -> float:
+    """Logarithm of how much likelier chance makes the token than the words do."""
+    symbol = _SYMBOL[np.frombuffer(token.rstrip("=").encode(), np.uint8)]
+    return float(ratio[np.concatenate([[_SEPARATOR], symbol[:-1]]), symbol].sum())
+
+
+def candidates(
+    text: str, known: list[tuple[int, int, int]], model: dict[str, np.ndarray]
+) -> Iterator[tuple[int, int, str, int, float]]:
+    """(start, end, encoding, length class, p) of candidates that overlap no known span and that the
+    words do not explain."""
     at = 0
     for m in CANDIDATE.finditer(text):
         while at < len(known) and known[at][2] <= m.start():
@@ -125,7 +214,7 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> Iterator[tuple[i
         if any(s < m.end() and e > m.start() for s, _, e in known[at:]):
             continue
         found = randomness(m[0])
-        if found is not None:
+        if found is not None and chance_over_words(m[0], model[found[0]]) >= 0:
             yield m.start(), m.end(), found[0], (m.end() - m.start()).bit_length(), found[1]
 
 
@@ -133,7 +222,7 @@ def _bin(p: float) -> int:
     return min(BINS - 1, int(p * BINS))
 
 
-def p_value_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def p_value_counts(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
     """(encoding, length_class, bin, n) over all documents; at most 7 x 32 x BINS rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +230,7 @@ def p_value_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    for _, _, encoding, size, p in candidates(text, base_spans(text)):
+                    for _, _, encoding, size, p in candidates(text, base_spans(text), model):
                         total[encoding, size, _bin(p)] += 1
         rows = [(*key, n) for key, n in total.items()]
         columns = list(zip(*rows)) or [()] * 4
@@ -194,7 +283,8 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per document: id_col, ``base_spans`` and ``spans`` (base and random), each an
     array of (kind, start, end) by start, then kind as in KINDS; code points, end exclusive."""
-    counted = p_value_counts(docs, text_col).collect()
+    model = word_model(docs, text_col)
+    counted = p_value_counts(docs, model, text_col).collect()
     level = levels([(r.encoding, r.length_class, r.bin, r.n) for r in counted], rate, least)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -207,7 +297,7 @@ def scan_secrets(
             for text in batch.column(1).to_pylist():
                 known = base_spans(text) if text else []
                 more = [
-                    (s, 3, e) for s, e, encoding, size, p in candidates(text or "", known)
+                    (s, 3, e) for s, e, encoding, size, p in candidates(text or "", known, model)
                     if _bin(p) >= level.get((encoding, size), BINS)
                 ]
                 base.append(listed(known))
@@ -238,13 +328,14 @@ def redact(
     the table follows the new text. Documents all stay."""
     own = docs.columns
     packed = docs.select(F.struct(*[f"`{c}`" for c in own]).alias("_row"), F.col(text_col).alias("_text"))
-    counted = p_value_counts(docs, text_col).collect()
+    model = word_model(docs, text_col)
+    counted = p_value_counts(docs, model, text_col).collect()
     level = levels([(r.encoding, r.length_class, r.bin, r.n) for r in counted], rate, least)
 
     def cleaned(text: str | None) -> str | None:
         known = base_spans(text) if text else []
         spans = known + [
-            (s, 3, e) for s, e, encoding, size, p in candidates(text or "", known)
+            (s, 3, e) for s, e, encoding, size, p in candidates(text or "", known, model)
             if _bin(p) >= level.get((encoding, size), BINS)
         ]
         out, at = [], 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import load, slices
+from .tokens import LEAN_BYTES, LEAN_MEMO, LEAN_WORDS, SLICE_BYTES, load, slices
 
 CAPACITY = 4096
 END_TOKEN = 2
@@ -132,8 +132,9 @@ def pack_documents(
     keep_memory: bool = True,
 ) -> DataFrame:
     """One row per piece: id_col, start, length, ids (binary, little-endian unsigned 32-bit),
-    doc_tokens, sequence_id, offset, sequence_tokens. ``keep_memory=False`` lets
-    workers forget pieces and words after each task, for jobs that are short of memory."""
+    doc_tokens, sequence_id, offset, sequence_tokens. ``keep_memory=False`` lets workers take less
+    text at once, remember fewer pieces and words, and forget them after each task, for jobs that are
+    short of memory."""
     if capacity < 2:
         raise ValueError("capacity must be at least 2")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -144,6 +145,8 @@ def pack_documents(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, packer = load(path), SumOfSquares(capacity, max_open)
+        if not keep_memory:
+            tokenizer.forget(LEAN_MEMO, LEAN_WORDS)
         end = np.array([end_token], "<u4")
         number = TaskContext.get().partitionId() << SEQUENCE_BITS
         id_type = None
@@ -169,7 +172,7 @@ def pack_documents(
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE_BYTES if keep_memory else LEAN_BYTES):
                 ids, bounds = tokenizer.ids(part.column(1))
                 for doc, lo, hi in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                     own = np.concatenate((ids[lo:hi], end))

@@ -30,15 +30,17 @@ WORDS = 350_000
 
 #: Rows and bytes of text that are tokenised together.
 SLICE, SLICE_BYTES = 2048, 8 << 20
+#: The same bounds for jobs that are short of memory: a slice's arrays take some 30 times its text.
+LEAN_MEMO, LEAN_WORDS, LEAN_BYTES = 60_000, 60_000, 1 << 20
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """``batch`` in parts of at most SLICE rows and, but for single rows, SLICE_BYTES of the text ``column``."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most SLICE rows and, but for single rows, ``most`` bytes of the text ``column``."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
     at = 0
     while at < batch.num_rows:
-        to = int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1
+        to = int(np.searchsorted(ends, ends[at] + most, side="right")) - 1
         to = max(at + 1, min(to, at + SLICE, batch.num_rows))
         yield batch.slice(at, to - at)
         at = to
@@ -135,9 +137,9 @@ class Tokenizer:
         self._final[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.forget()
 
-    def forget(self) -> None:
-        """Give memory back; an idle Python worker stays for a while."""
-        self._pieces, self._words = Memo(MEMO), Memo(WORDS)
+    def forget(self, memo: int = MEMO, words: int = WORDS) -> None:
+        """Give memory back (an idle Python worker stays for a while); from now on remember so many pieces and words."""
+        self._pieces, self._words = Memo(memo), Memo(words)
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(words, add_special_tokens=False)
